@@ -45,7 +45,7 @@ _SAME_LOOK = _same_look()
 _UNUSUAL = re.compile("[" + "".join(f"\\U{ord(c):08x}" for c in _SAME_LOOK) + "]")
 _LOOKALIKE = re.compile("[" + "".join((*LATIN_LOOKALIKES, *ARABIC_LOOKALIKES, FARSI_YEH)) + "]")
 _MARKER = re.compile(r"\[[^\]]*\]|<[^>]*>")
-_YEH_INSIDE = re.compile(FARSI_YEH + r"(?=[ً-ٰٟ]*[ؠ-يٮ-ۓ])")
+_YEH_INSIDE = re.compile(FARSI_YEH + r"(?=[\u064b-\u065f\u0670]*[\u0620-\u064a\u066e-\u06d3])")
 
 
 def plain_form(text: str) -> str:
@@ -84,7 +84,7 @@ def repaired(token: str) -> str | None:
             continue
         if c.isascii():
             latin += c.isalpha()
-        elif "؀" <= c <= "ۿ":
+        elif 0x600 <= ord(c) < 0x700:
             arabic += c.isalpha()
         elif c.isalpha():
             latin -= 1  # a letter of a third script speaks against Latin
