@@ -29,6 +29,8 @@ RARER = 200
 HEAD, WORD_SALTS = 3, 4
 #: Neighbouring lengths compared with a length; texts it needs; times the neighbours' mean; share that ends like cut ones.
 NEIGHBOURS, PILE, PILE_TIMES, PILE_CUT = 50, 3, 8, 0.25
+#: Share of a source's closed texts whose last sentence may be as short as a rest; texts needed to tell.
+SHORT_SHARE, CLOSED = 0.002, 50
 #: Lengths this little under a limit count where the text also ends like a cut one.
 SLACK = 3
 #: Distinct words a task holds before it passes them on.
@@ -36,16 +38,18 @@ VOCABULARY_FLUSH = 300_000
 # Brackets and quotes that close again, and what a limit may put in place of the rest.
 PAIRS = {"(": ")", "«": "»", "[": "]", "“": "”", "{": "}"}
 DOTS = ("...", "…")
+SENTENCE_MARKS = ".!?؟…\n"
+SIGNS = "#—–@"  # open a closing line: tags and signatures
 BROKEN = "�"
 
 _UNSEEN = "".join(map(chr, (*INVISIBLE, *BLANKS))) + " \t\r\n\v\f"
 _SCHEMA = pa.schema(
     [
         ("doc_id", pa.int64()), ("source", pa.string()), ("text_hash", pa.int64()), ("n_chars", pa.int64()), ("n_bytes", pa.int64()), ("token", pa.string()),
-        ("dotted", pa.bool_()), ("broken", pa.bool_()), ("open_pair", pa.bool_()), ("word", pa.string()), ("n", pa.int64()),
+        ("dotted", pa.bool_()), ("broken", pa.bool_()), ("open_pair", pa.bool_()), ("rest", pa.int64()), ("closed", pa.bool_()), ("word", pa.string()), ("n", pa.int64()),
     ]
 )
-_DDL = "doc_id bigint, source string, text_hash bigint, n_chars bigint, n_bytes bigint, token string, dotted boolean, broken boolean, open_pair boolean, word string, n bigint"
+_DDL = "doc_id bigint, source string, text_hash bigint, n_chars bigint, n_bytes bigint, token string, dotted boolean, broken boolean, open_pair boolean, rest bigint, closed boolean, word string, n bigint"
 
 
 def _is_letter(c: str) -> bool:
@@ -62,6 +66,15 @@ def _ending(text: str) -> tuple[str, bool, bool]:
     return seen, False, bool(seen) and _is_letter(seen[-1])
 
 
+def _rest(seen: str) -> tuple[int, bool]:
+    """Words of the last sentence or line, and whether a sentence mark closes it; a closing line counts whole, with what it closes."""
+    body = seen.rstrip(SENTENCE_MARKS)
+    if body.rpartition("\n")[2].lstrip(_UNSEEN)[:1] in (*SIGNS,):
+        return len(words(body)), False
+    at = max(body.rfind(mark) for mark in SENTENCE_MARKS)
+    return len(words(body[at + 1 :])), len(body) < len(seen)
+
+
 def _left_open(text: str) -> bool:
     """Whether the last bracket or quote of the text was opened and not closed."""
     return any((at := text.rfind(a)) >= 0 and text.find(b, at) < 0 for a, b in PAIRS.items())
@@ -83,12 +96,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = words(text)
             token = found.pop() if lettered and found else None
             counts.update(found)
-            broken = body.endswith(BROKEN)
             rows.append(
-                (xxhash.xxh3_64_intdigest(text) >> 1, len(text), len(text.rstrip(BROKEN).encode()), token, dotted, broken, lettered and not dotted and _left_open(body))
+                (
+                    *(xxhash.xxh3_64_intdigest(text) >> 1, len(text), len(text.rstrip(BROKEN).encode()), token, dotted, body.endswith(BROKEN)),
+                    *(lettered and not dotted and _left_open(body), *_rest(text.rstrip(_UNSEEN))),
+                )
             )
-        columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(list(_SCHEMA)[2:9])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, *(pa.nulls(len(rows), f.type) for f in list(_SCHEMA)[9:])], schema=_SCHEMA)
+        columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(list(_SCHEMA)[2:-2])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, *(pa.nulls(len(rows), f.type) for f in list(_SCHEMA)[-2:])], schema=_SCHEMA)
         if len(counts) > VOCABULARY_FLUSH:
             yield flushed()
     yield flushed()
@@ -156,10 +171,20 @@ def find_limits(lengths: DataFrame) -> DataFrame:
     return lengths.withColumn("piled", piled).filter("piled").select("source", "measure", F.col("length").alias("limit"))
 
 
+def short_rests(ends: DataFrame) -> DataFrame:
+    """``source, longest_rest``: so few words almost no closed text of the source ends its last sentence with."""
+    sizes = ends.filter("closed").groupBy("source", "rest").agg(F.count("*").alias("n"))
+    upward = Window.partitionBy("source").orderBy("rest")
+    share = F.sum("n").over(upward) / F.sum("n").over(Window.partitionBy("source"))
+    enough = F.sum("n").over(Window.partitionBy("source")) >= CLOSED
+    rare = sizes.select("source", "rest", share.alias("share"), enough.alias("enough")).filter(F.col("enough") & (F.col("share") <= SHORT_SHARE))
+    return rare.groupBy("source").agg(F.max("rest").alias("longest_rest"))
+
+
 def truncated_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cut documents with their evidence, and the report per source.
 
-    The first has ``doc_id, source, last_token, cut_word, at_limit, open_pair, broken``, a
+    The first has ``doc_id, source, last_token, cut_word, at_limit, open_pair, broken, short_rest``, a
     row per cut document; the second ``source, n_documents, n_cut, cut_share``. Rows
     without id or text and empty texts can't be cut; a null source is a source of its
     own; repeated texts are judged alike, and count once where lengths pile up. Texts are
@@ -185,8 +210,10 @@ def truncated_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = F.col("chars_exact").isNotNull() | F.col("bytes_exact").isNotNull()
     exact = F.coalesce("chars_exact", F.lit(False)) | F.coalesce("bytes_exact", F.lit(False))
     judged = judged.withColumn("at_limit", exact | (near & (F.col("dotted") | F.col("prefix"))))
+    judged = lookup(judged, saved(short_rests(ends)), ["source"], "left")
+    judged = judged.withColumn("short_rest", F.coalesce(F.col("token").isNotNull() & ~F.col("dotted") & ~F.col("closed") & (F.col("rest") <= F.col("longest_rest")), F.lit(False)))
     judged = judged.withColumn("cut_word", F.col("prefix") & ~F.col("dotted"))
-    judged = judged.withColumn("cut", F.col("cut_word") | F.col("at_limit") | F.col("open_pair") | F.col("broken"))
-    cut = judged.filter("cut").select("doc_id", F.nullif("source", F.lit("")).alias("source"), F.col("token").alias("last_token"), "cut_word", "at_limit", "open_pair", "broken")
+    judged = judged.withColumn("cut", F.col("cut_word") | F.col("at_limit") | F.col("open_pair") | F.col("broken") | F.col("short_rest"))
+    cut = judged.filter("cut").select("doc_id", F.nullif("source", F.lit("")).alias("source"), F.col("token").alias("last_token"), "cut_word", "at_limit", "open_pair", "broken", "short_rest")
     report = judged.groupBy(F.nullif("source", F.lit("")).alias("source")).agg(F.count("*").alias("n_documents"), F.count_if("cut").alias("n_cut"))
     return cut, report.withColumn("cut_share", F.col("n_cut") / F.col("n_documents"))
