@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.plans import interval_queries
+from corpusflow.plans import cleaning_queries, column_queries, interval_queries, scoring_queries, split_queries, text_queries
 
-MODULES = (interval_queries,)
+MODULES = (cleaning_queries, text_queries, column_queries, scoring_queries, split_queries, interval_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
