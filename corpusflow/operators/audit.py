@@ -38,8 +38,9 @@ def merged_roots(roots: dict[str, DataFrame], file: str) -> DataFrame:
     for t in tagged[1:]:
         out = out.unionByName(t, allowMissingColumns=True)
     clash = out.groupBy(file).agg(F.count_distinct("root").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"))
-    checked = clash.select(F.assert_true(F.col("most") <= 1, F.lit("a file is in two roots")).alias("_ok"))
-    return out.crossJoin(F.broadcast(checked)).drop("_ok")
+    # The assertion stands in a filter, for an unused column would be pruned with it.
+    checked = clash.filter(F.assert_true(F.col("most") <= 1, F.lit("a file is in two roots")).isNull()).select()
+    return out.crossJoin(F.broadcast(checked))
 
 
 def recovered(dropped: DataFrame, text: str) -> DataFrame:
@@ -57,8 +58,8 @@ def replaced_subset(table: DataFrame, subset: Column, *parts: DataFrame, expecte
         new = new.unionByName(p, allowMissingColumns=True)
     kept = table.filter(~F.coalesce(subset, F.lit(False)))
     if expected is not None:
-        count = new.agg(F.count("*").alias("n")).select(F.assert_true(F.col("n") == expected, F.lit("the parts have another number of rows")).alias("_ok"))
-        new = new.crossJoin(F.broadcast(count)).drop("_ok")
+        right = F.assert_true(F.col("n") == expected, F.lit("the parts have another number of rows"))
+        new = new.crossJoin(F.broadcast(new.agg(F.count("*").alias("n")).filter(right.isNull()).select()))
     return kept.unionByName(new, allowMissingColumns=True)
 
 

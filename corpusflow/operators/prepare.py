@@ -64,7 +64,11 @@ def collated(df: DataFrame, batch: Column, order: str, columns: Sequence[str]) -
     """Batches as parallel lists in row order; a batch is a bounded number of rows."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *columns)))
     packed = df.groupBy(batch.alias("batch_id")).agg(rows.alias("_rows"))
-    return packed.select("batch_id", *(F.transform("_rows", lambda r, c=c: r[c]).alias(f"{c}_list") for c in columns))
+
+    def values(name: str) -> Column:
+        return F.transform("_rows", lambda row: row[name]).alias(f"{name}_list")
+
+    return packed.select("batch_id", *(values(c) for c in columns))
 
 
 def mock_prediction(reference: Column, prefix: str, tuned: bool, placeholder: bool = False) -> Column:

@@ -31,7 +31,8 @@ def resolved_times(df: DataFrame, recording: str, order: Sequence[str], start: s
     marked = df.withColumn("_next", next_start(recording, order, start).cast("double")).withColumn("_last", F.lead(F.lit(1)).over(rows).isNull())
     after = F.when(F.col("_next") >= a, F.col("_next")).when(F.col("_last"), duration).otherwise(a)
     fixed_end = F.greatest(F.greatest(F.lit(0.0), a), F.least(duration, F.coalesce(b, after)))
-    open_end = F.least(duration, F.coalesce(b, F.col("_next"), F.when(F.col("_last"), duration)))
+    given = F.coalesce(b, F.col("_next"), F.when(F.col("_last"), duration))
+    open_end = F.when(given.isNotNull(), F.least(duration, given))
     marked = marked.withColumn("_reach", F.when(a.isNotNull(), fixed_end).otherwise(F.greatest(F.lit(0.0), open_end)))
     marked = marked.withColumn("_run", F.count(a).over(rows.rowsBetween(Window.unboundedPreceding, 0)))
     in_run = Window.partitionBy(recording, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
