@@ -11,8 +11,9 @@ from corpusflow.sizing import lookup, saved
 
 #: Bins that each round cuts the range of a target into.
 BINS = 1024
-#: Rounds after which a search gives up; 1024 bins reach the spacing of doubles in seven.
-MAX_ROUNDS = 12
+#: Rounds after which a search gives up. Each parts the ends of its range, so even scores that halve
+#: from one to the next end within the exponents of a double; evenly spread ones need two or three.
+MAX_ROUNDS = 1100
 
 
 def scored_records(rows: DataFrame, fields: list[str]) -> DataFrame:

@@ -153,9 +153,9 @@ def prefix_counts(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     parts = spread.repartition("head", "salt").sortWithinPartitions("salt", "word", F.col("n").asc_nulls_first()).select("word", "n")
     walked = parts.mapInArrow(_walk, "token string, own bigint, below bigint").groupBy("token").agg(F.sum("own").alias("own"), F.sum("below").alias("below"))
     # The top of the trie: beginnings of fewer letters are few, whatever the vocabulary.
-    tops = F.array(*(F.struct(F.substring("word", 1, k).alias("token"), (F.length("word") > k).alias("longer")) for k in range(1, HEAD)))
-    top = vocabulary.select("n", F.inline(tops)).groupBy("token").agg(F.sum(F.when(~F.col("longer"), F.col("n"))).alias("own"), F.sum(F.when(F.col("longer"), F.col("n"))).alias("below"))
-    # A word shorter than k letters is its own beginning of k letters, so it is counted for each k; that only touches `own`.
+    tops = F.array(*(F.struct(F.lit(k).alias("k"), F.substring("word", 1, k).alias("token"), (F.length("word") > k).alias("longer")) for k in range(1, HEAD)))
+    reached = F.filter(tops, lambda t: t["k"] <= F.length("word"))
+    top = vocabulary.select("n", F.inline(reached)).groupBy("token").agg(F.sum(F.when(~F.col("longer"), F.col("n"))).alias("own"), F.sum(F.when(F.col("longer"), F.col("n"))).alias("below"))
     short = tokens.filter(F.length("token") < HEAD).join(top, "token").select("token", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("below", F.lit(0)).alias("below"))
     return walked.unionByName(short)
 
