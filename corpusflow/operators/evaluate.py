@@ -29,20 +29,27 @@ def word_distance(reference: Column, hypothesis: Column) -> Column:
 
 
 def pair_errors(df: DataFrame, reference: str, hypothesis: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Per row the edits and reference units of the six metrics: words and characters of three forms."""
-    out = df
+    """Per row the edits and reference units of the six metrics: words and characters of three forms.
+
+    Forms, units and distances are three projections, so no pattern runs twice for a row;
+    equal units need no distance.
+    """
+    sides = {"r": reference, "h": hypothesis}
+    forms = df.select(*keep, *(form(F.col(c)).alias(f"{p}{k}") for p, form in FORMS.items() for k, c in sides.items()))
+    units = [u.alias(f"{p}{name}{k}") for p in FORMS for k in sides for u, name in ((word_units(F.col(f"{p}{k}")), "w"), (char_units(F.col(f"{p}{k}")), "c"))]
+    split = forms.select(*keep, *units)
     columns: dict[str, Column] = {}
-    for prefix, form in FORMS.items():
-        r, h = f"_r{prefix}", f"_h{prefix}"
-        out = out.withColumns({r: form(F.col(reference)), h: form(F.col(hypothesis))})
-        rw, hw = word_units(F.col(r)), word_units(F.col(h))
-        columns[f"{prefix}wer_edits"] = word_distance(rw, hw).cast("bigint")
-        columns[f"{prefix}wer_units"] = F.size(rw).cast("bigint")
-        columns[f"{prefix}cer_edits"] = F.levenshtein(char_units(F.col(r)), char_units(F.col(h))).cast("bigint")
-        columns[f"{prefix}cer_units"] = F.length(char_units(F.col(r))).cast("bigint")
-        columns[f"{prefix}wer_other"] = F.size(hw).cast("bigint")
-        columns[f"{prefix}cer_other"] = F.length(char_units(F.col(h))).cast("bigint")
-    return out.select(*keep, *(c.alias(name) for name, c in columns.items()))
+    for p in FORMS:
+        rw, hw, rc, hc = (F.col(f"{p}{name}{k}") for name in "wc" for k in sides)
+        columns |= {
+            f"{p}wer_edits": F.when(rw == hw, F.lit(0)).otherwise(word_distance(rw, hw)).cast("bigint"),
+            f"{p}wer_units": F.size(rw).cast("bigint"),
+            f"{p}wer_other": F.size(hw).cast("bigint"),
+            f"{p}cer_edits": F.when(rc == hc, F.lit(0)).otherwise(F.levenshtein(rc, hc)).cast("bigint"),
+            f"{p}cer_units": F.length(rc).cast("bigint"),
+            f"{p}cer_other": F.length(hc).cast("bigint"),
+        }
+    return split.select(*keep, *(c.alias(name) for name, c in columns.items()))
 
 
 def rate(edits: Column, units: Column, other: Column) -> Column:

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusflow.sizing import saved
+
 #: Length of a time slice; a slice holds at most this many disjoint intervals per task that feeds it.
 SLICE_MS = 600_000
 #: Times beyond this many milliseconds aren't times (and would not be exact in a double).
@@ -70,7 +72,8 @@ def merged_intervals(rows: DataFrame, entity: str, start: str, end: str, slice_m
     empty table gives an empty result.
     """
     lists = valid_intervals(rows, entity, start, end).mapInArrow(_merge_task, "entity string, s bigint, e bigint")
-    lists = lists.withColumn("slice", F.floor(F.col("s") / slice_ms))
+    # Three branches read the merged lists, so they are written once instead of merged three times.
+    lists = saved(lists.withColumn("slice", F.floor(F.col("s") / slice_ms)))
     # Level two: the lists of a slice, merged in one sorted pass; what ends inside the slice is final but for its border.
     inside = Window.partitionBy("entity", "slice").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max("e").over(inside)
