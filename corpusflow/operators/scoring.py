@@ -45,12 +45,12 @@ def percent(n: Column, of: Column) -> Column:
 def label_shares(df: DataFrame, label: str, status: str, labels: Sequence[str]) -> DataFrame:
     """``label, n, percent`` over rows of status ok (null counts as ok), a row for each given label, also for none."""
     ok = df.filter(F.coalesce(F.col(status), F.lit("ok")) == "ok")
-    counts = ok.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
-    listed = df.sparkSession.createDataFrame([(x,) for x in labels], "label string")
-    total = ok.agg(F.count("*").alias("total"))
-    joined = listed.join(F.broadcast(counts.filter(F.col("label").isin(*labels))), "label", "left").crossJoin(F.broadcast(total))
-    n = F.coalesce("n", F.lit(0))
-    return joined.select("label", n.alias("n"), percent(n, F.col("total")).alias("percent"))
+    counts = ok.groupBy(F.coalesce(F.col(label), F.lit("")).alias("label")).agg(F.count("*").alias("n"))
+    # The whole is summed over the labels that occur, which are few, and reaches the others through the listed ones.
+    whole = counts.agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("by"))
+    listed = whole.select("total", "by", F.explode(F.array(*map(F.lit, labels))).alias("label"))
+    n = F.coalesce(F.try_element_at("by", "label"), F.lit(0))
+    return listed.select("label", n.alias("n"), percent(n, F.coalesce("total", F.lit(0))).alias("percent"))
 
 
 def status_counts(df: DataFrame, status: str) -> DataFrame:
