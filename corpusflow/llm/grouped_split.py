@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusflow.functions.reading import source_name, speaker_name, split_name
 from corpusflow.llm.components import connected_components
@@ -146,7 +147,7 @@ def assign_splits(segments: DataFrame, targets: DataFrame, labels: tuple[str, ..
 def split_shares(assigned: DataFrame, targets: DataFrame) -> DataFrame:
     """``split_name, target_share, n_records, actual_share``, a row per target split."""
     counts = assigned.groupBy(F.col("new_split").alias("split_name")).agg(F.count("*").alias("n_records"))
-    total = counts.agg(F.sum("n_records").alias("total"))
-    joined = targets.select("split_name", "target_share").join(counts, "split_name", "left").crossJoin(F.broadcast(total))
+    joined = targets.select("split_name", "target_share").join(counts, "split_name", "left")
     n = F.coalesce("n_records", F.lit(0))
-    return joined.select("split_name", "target_share", n.alias("n_records"), F.coalesce(n / F.col("total"), F.lit(0.0)).alias("actual_share"))
+    total = F.sum(n).over(Window.partitionBy())  # a row per target
+    return joined.select("split_name", "target_share", n.alias("n_records"), F.coalesce(n / F.nullif(total, F.lit(0)), F.lit(0.0)).alias("actual_share"))

@@ -81,8 +81,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, budget: int | None = N
     sizes = saved(token_sizes(documents, tokenizer))
     per_source = sizes.groupBy("source").agg(F.sum("n_tokens").alias("total"), F.count("*").alias("n_docs"))
     weights = per_source.join(_weights(targets), "source")
-    scaled = weights.crossJoin(F.broadcast(weights.agg(F.sum("w").alias("w_sum")))).withColumn("w", F.col("w") / F.col("w_sum")).drop("w_sum")
-    scaled = saved(scaled)
+    weights = saved(weights)
+    scaled = weights.withColumn("w", F.col("w") / F.lit(weights.agg(F.sum("w")).first()[0] or 1.0))
     # The hair keeps a whole number whole through the division.
     largest, n_docs = scaled.agg(F.min(F.col("cap") * F.col("total") / F.col("w")), F.sum("n_docs")).first()
     end = float(budget) if budget is not None else float(int((largest or 0) + 1e-6))
@@ -101,10 +101,11 @@ def mix_sources(documents: DataFrame, targets: DataFrame, budget: int | None = N
     chosen = saved(chosen.filter(F.col("running_tokens") <= end).select("doc_id", "copy", "source", "n_tokens", "finish", "running_tokens"))
     used = chosen.groupBy("source").agg(F.count_if(F.col("copy") == 0).alias("n_documents"), F.count("*").alias("n_uses"), F.sum("n_tokens").alias("used_tokens"))
     named = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").filter("source is not null")
-    report = named.join(per_source, "source", "left").join(used, "source", "left").crossJoin(F.broadcast(used.agg(F.sum("used_tokens").alias("all_tokens"))))
+    report = named.join(per_source, "source", "left").join(used, "source", "left")
+    all_tokens = F.lit(chosen.agg(F.sum("n_tokens")).first()[0])
     whole = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("n_documents", "n_uses", "used_tokens")}
     report = report.select(
         "source", "target_share", "max_repeats", F.coalesce("total", F.lit(0)).alias("available_tokens"), *(v.alias(c) for c, v in whole.items()),
-        F.coalesce(F.col("used_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"),
+        F.coalesce(F.col("used_tokens") / all_tokens, F.lit(0.0)).alias("actual_share"),
     )
     return chosen, report
