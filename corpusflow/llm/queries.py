@@ -1,4 +1,4 @@
-"""Queries on the training-data operators, with SQL where SQL can say the same."""
+"""Queries on the training-data operators; their SQL twins are in ``sql``."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import cutoff, grouped_split, leakage, lookalike, mixture, overlap, truncation
+from corpusflow.llm import cutoff, grouped_split, leakage, lookalike, mixture, overlap, sql, truncation
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -109,33 +109,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
 
-_SCORED = """
-with names as (
-  select uid, min(translate(lower(trim(source)), '- ', '__')) as source,
-    max(case when text_target_label_score between 0 and 1 and not isnan(text_target_label_score) then text_target_label_score end) as text_target_label_score,
-    max(case when top_score between 0 and 1 and not isnan(top_score) then top_score end) as top_score
-  from row_probabilities where uid is not null and source is not null group by uid
-), scored as (
-  select uid, source, 'text_target_label_score' as score_field, text_target_label_score as score from names where text_target_label_score is not null
-  union all select uid, source, 'top_score', top_score from names where top_score is not null
-), targets as (
-  select translate(lower(trim(source)), '- ', '__') as source, score_field, target_fraction from cutoff_targets
-), ranked as (
-  select s.*, t.target_fraction, row_number() over (partition by s.source, s.score_field order by score desc) as place,
-    count(*) over (partition by s.source, s.score_field) as n_scored
-  from scored s join targets t using (source, score_field)
-), cutoffs as (
-  select source, score_field, target_fraction, n_scored, max(score) as cutoff
-  from ranked where place >= target_fraction * n_scored - 1e-9 group by all
-)
-"""
-
-
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {
-        "p3_found": _SCORED + "select score_field, uid from scored join cutoffs using (source, score_field) where score >= cutoff",
-        "p3_report": _SCORED
-        + """select source, score_field, c.target_fraction, n_scored, cutoff, count(*) as n_kept, count(*) / n_scored as kept_fraction
-from scored join cutoffs c using (source, score_field) where score >= cutoff group by 1, 2, 3, 4, 5""",
-    }
+    return sql.oracle_sql()

@@ -24,7 +24,7 @@ from corpusflow.llm.textforms import BLANKS, INVISIBLE, words
 from corpusflow.sizing import lookup, saved
 
 #: A token is unknown when words it begins are at least this many times as frequent as itself.
-RARER = 200
+RARER = 80
 #: Letters that spread the vocabulary, and salts that part the words of one beginning.
 HEAD, WORD_SALTS = 3, 4
 #: Neighbouring lengths compared with a length; texts it needs; times the neighbours' mean; share that ends like cut ones.
@@ -66,10 +66,15 @@ def _ending(text: str) -> tuple[str, bool, bool]:
     return seen, False, bool(seen) and _is_letter(seen[-1])
 
 
+def _closing_line(seen: str) -> bool:
+    """Whether the last line is a tag or signature, so the text came to its end."""
+    return seen.rpartition("\n")[2].lstrip(_UNSEEN)[:1] in (*SIGNS,)
+
+
 def _rest(seen: str) -> tuple[int, bool]:
     """Words of the last sentence or line, and whether a sentence mark closes it; a closing line counts whole, with what it closes."""
     body = seen.rstrip(SENTENCE_MARKS)
-    if body.rpartition("\n")[2].lstrip(_UNSEEN)[:1] in (*SIGNS,):
+    if _closing_line(body):
         return len(words(body)), False
     at = max(body.rfind(mark) for mark in SENTENCE_MARKS)
     return len(words(body[at + 1 :])), len(body) < len(seen)
@@ -99,7 +104,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append(
                 (
                     *(xxhash.xxh3_64_intdigest(text) >> 1, len(text), len(text.rstrip(BROKEN).encode()), token, dotted, body.endswith(BROKEN)),
-                    *(lettered and not dotted and _left_open(body), *_rest(text.rstrip(_UNSEEN))),
+                    *(lettered and not dotted and not _closing_line(body) and _left_open(body), *_rest(text.rstrip(_UNSEEN))),
                 )
             )
         columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(list(_SCHEMA)[2:-2])]
