@@ -6,15 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusflow.operators.timing import streamed
 from corpusflow.sizing import prefix_totals
 
-#: Rows aimed at in one bucket of the ordinal.
-BUCKETS = 256
-
-
 def hash_key(salt: str, *keys: Column) -> Column:
     """The hash that orders rows: md5 of the salt and the keys."""
     return F.md5(F.concat_ws("|", F.lit(salt), *keys))
@@ -35,7 +30,8 @@ def exact_split(df: DataFrame, leaf: str, key: str, seed: int = 42, train: float
     """
     check_ratios(train, val, 1 - train - val)
     order = hash_key(f"{seed}", F.coalesce(F.col(leaf), F.lit("")), F.col(key).cast("string"))
-    keyed = df.withColumns({"_leaf": F.coalesce(F.col(leaf), F.lit("")), "_hash": order, "_one": F.lit(1)}).withColumn("_bucket", F.substring("_hash", 1, 2))
+    # 4,096 buckets by the first digits of the hash, all of like size.
+    keyed = df.withColumns({"_leaf": F.coalesce(F.col(leaf), F.lit("")), "_hash": order, "_one": F.lit(1)}).withColumn("_bucket", F.substring("_hash", 1, 3))
     placed = prefix_totals(keyed, ["_leaf"], "_bucket", [F.col("_hash"), F.col(key)], "_one", "_ordinal")
     sizes = keyed.groupBy("_leaf").agg(F.count("*").alias("_n"))
     n_train, n_val = F.floor(F.col("_n") * F.lit(float(train))), F.floor(F.col("_n") * F.lit(float(val)))
@@ -115,8 +111,3 @@ def split_counts(df: DataFrame, leaf: str, split: str) -> DataFrame:
     counts = df.groupBy(leaf).agg(F.count("*").alias("n_rows"), *(F.count_if(F.col(split) == s).alias(f"n_{s}") for s in ("train", "val", "test")))
     planned = {"planned_train": F.floor(n * F.lit(0.7)), "planned_val": F.floor(n * F.lit(0.15))}
     return counts.withColumns(planned).withColumn("planned_test", n - F.col("planned_train") - F.col("planned_val"))
-
-
-def leaf_ordinals(df: DataFrame, leaf: str, order: list[str]) -> DataFrame:
-    """``df`` with the row's ``ordinal`` in its leaf, from 0, in path and row order."""
-    return df.withColumn("ordinal", F.row_number().over(Window.partitionBy(leaf).orderBy(*order)) - 1)

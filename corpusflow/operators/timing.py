@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusflow.sizing import prefix_totals
+
 MIN_SEGMENT_SECONDS = 0.05
 
 
@@ -58,10 +60,19 @@ def segment_fault(transcript: Column, start: Column, end: Column, first: Column,
     )
 
 
-def row_shards(df: DataFrame, group: str, order: Sequence[str], rows_per_shard: int) -> DataFrame:
-    """``df`` with ``ordinal`` in its group from 0 and the ``shard_id`` of fixed row count."""
-    ordinal = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    return df.withColumn("ordinal", ordinal).withColumn("shard_id", F.floor(F.col("ordinal") / rows_per_shard))
+def leaf_ordinals(df: DataFrame, leaf: str, file: str, row: str) -> DataFrame:
+    """``df`` with the row's ``ordinal`` in its leaf, from 0, in path and row order.
+
+    Rows are numbered inside their file and files add the rows before them, so a leaf that
+    holds most of the data is not one sort task. A null leaf or file is one of its own.
+    """
+    placed = prefix_totals(df.withColumn("_one", F.lit(1)), [leaf], file, [F.col(row)], "_one", "ordinal")
+    return placed.withColumn("ordinal", F.col("ordinal") - 1).drop("_one")
+
+
+def row_shards(df: DataFrame, leaf: str, file: str, row: str, rows_per_shard: int) -> DataFrame:
+    """``df`` with ``ordinal`` and the ``shard_id`` of fixed row count within its leaf."""
+    return leaf_ordinals(df, leaf, file, row).withColumn("shard_id", F.floor(F.col("ordinal") / rows_per_shard))
 
 
 def streamed(df: DataFrame, group: str, order: Sequence[Column], columns: Sequence[str], step: Callable[[], Callable], added: str) -> DataFrame:

@@ -14,7 +14,7 @@ SECONDS, ROWS_PER_SHARD, SHARD_BYTES = 3600.0, 100, 4096
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", source_name(F.col("source")).alias("source"), "n_chars")
+    return table(spark, folder, "documents").select("doc_id", source_name(F.col("source")).alias("source"), "n_chars", "source_file")
 
 
 def stratified_split(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,13 +56,13 @@ def budget_three_phase(spark: SparkSession, folder: str) -> DataFrame:
 
 def fixed_row_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Rows, first and last document of each fixed-size shard."""
-    placed = timing.row_shards(_documents(spark, folder), "source", ["doc_id"], ROWS_PER_SHARD)
+    placed = timing.row_shards(_documents(spark, folder), "source", "source_file", "doc_id", ROWS_PER_SHARD)
     return placed.groupBy("source", "shard_id").agg(F.count("*").alias("row_count"), F.min("doc_id").alias("first_doc"), F.max("ordinal").alias("last_ordinal"))
 
 
 def leaf_ordinals(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's ordinal in its source."""
-    return splits.leaf_ordinals(_documents(spark, folder), "source", ["doc_id"]).select("doc_id", "ordinal")
+    return timing.leaf_ordinals(_documents(spark, folder), "source", "source_file", "doc_id").select("doc_id", "ordinal")
 
 
 def byte_budget_shards(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,7 +106,7 @@ def segment_validity(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy(F.coalesce(fault, F.lit("emitted")).alias("fate")).agg(F.count("*").alias("n_segments"), F.sum(after - first).alias("n_frames"))
 
 
-_DOCS = f"(select doc_id, {sql.source_name('source')} as source, n_chars from documents)"
+_DOCS = f"(select doc_id, {sql.source_name('source')} as source, n_chars, source_file from documents)"
 _SPLIT = f"""
 with keyed as (select *, md5('42|' || coalesce(source, '') || '|' || doc_id::varchar) as h from {_DOCS}), placed as (
   select *, row_number() over (partition by source order by h, doc_id) as i, count(*) over (partition by source) as n from keyed
@@ -174,9 +174,9 @@ with recursive {_RECORDS}, offers as (
   select o.i, o.uid, o.phase, ok, case when ok then w.total + o.seconds else w.total end, case when ok then list_append(w.taken, o.uid) else w.taken end
   from walk w join offers o on o.i = w.i + 1, lateral (select not list_contains(w.taken, o.uid) and w.total + o.seconds <= 3600 as ok)
 ) select uid, phase from walk where chosen""",
-    "fixed_row_shards": f"""with placed as (select *, row_number() over (partition by source order by doc_id) - 1 as ordinal from {_DOCS})
-select source, floor(ordinal / 100)::bigint as shard_id, count(*) as row_count, min(doc_id) as first_doc, max(ordinal)::int as last_ordinal from placed group by all""",
-    "leaf_ordinals": f"select doc_id, (row_number() over (partition by source order by doc_id) - 1)::int as ordinal from {_DOCS}",
+    "fixed_row_shards": f"""with placed as (select *, row_number() over (partition by source order by source_file nulls first, doc_id) - 1 as ordinal from {_DOCS})
+select source, floor(ordinal / 100)::bigint as shard_id, count(*) as row_count, min(doc_id) as first_doc, max(ordinal) as last_ordinal from placed group by all""",
+    "leaf_ordinals": f"select doc_id, row_number() over (partition by source order by source_file nulls first, doc_id) - 1 as ordinal from {_DOCS}",
     "byte_budget_shards": """
 with recursive ordered as (select doc_id, source_file, strlen(text) as size, row_number() over (partition by source_file order by doc_id) as i from documents
 ), walk as (

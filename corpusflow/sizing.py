@@ -87,11 +87,16 @@ def prefix_totals(df: DataFrame, groups: list[str], bucket: str, order: list[Col
     """Running total of ``value`` per group in the order (``bucket``, ``order``), the row itself included.
 
     Buckets must be ordered ranges of the sort key. Only one sum per bucket passes
-    through the window over a whole group; rows are sorted inside their bucket.
+    through the window over a whole group; rows are sorted inside their bucket. Null
+    groups and buckets are values like any other.
     """
     sums = df.groupBy(*groups, bucket).agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*groups, bucket, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*groups, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     ran = df.withColumn("_inside", F.sum(value).over(inside))
-    return ran.join(offsets, [*groups, bucket]).withColumn(total, F.col("_offset") + F.col("_inside")).drop("_offset", "_inside")
+    keys = [*groups, bucket]
+    offsets = offsets.select(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys)), "_offset")
+    same = [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)]
+    joined = ran.join(offsets, same).withColumn(total, F.col("_offset") + F.col("_inside"))
+    return joined.drop("_offset", "_inside", *(f"_{i}" for i in range(len(keys))))
