@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from corpusflow.functions.reading import source_name
 from corpusflow.functions.text import collapsed
@@ -115,3 +116,39 @@ def stacked(*tables: DataFrame) -> DataFrame:
     for t in tables[1:]:
         out = out.unionByName(t, allowMissingColumns=True)
     return out
+
+
+def path_parts(path: Column, root: str) -> tuple[Column, Column]:
+    """Split and corpus of ``root/split/corpus[/part]/file``: the corpus is its directories joined by ``_``."""
+    parts = F.split(F.substring(path, F.lit(len(root) + 2), F.length(path)), "/")
+    return F.get(parts, F.lit(0)), F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), "_")
+
+
+def language_of(corpus: Column, whole: str = "arb_Arab", dialect: str = "apc_Arab") -> Column:
+    """The language tag of a corpus: the whole language for the one that is not of the dialect."""
+    return F.when(corpus.contains("masc") & corpus.contains("non_lev"), whole).otherwise(dialect)
+
+
+def leaf_of(file_name: Column, prefixes: Mapping[str, str], default: str | None = None) -> Column:
+    """The leaf whose file-name prefix fits, the longest first."""
+    out = F.when(F.lit(False), F.lit(""))
+    for prefix in sorted(prefixes, key=len, reverse=True):
+        out = out.when(file_name.startswith(prefix), F.lit(prefixes[prefix]))
+    return out.otherwise(F.lit(default))
+
+
+def numbered_uid(corpus: Column, split: Column, part: Column, group: Column, row: Column) -> Column:
+    """``corpus_split_00001_0002_0003``."""
+    pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    return F.concat_ws("_", corpus, split, pad(part, 5), pad(group, 4), pad(row, 4))
+
+
+def capped(df: DataFrame, group: str, order: Sequence[Column], n: int) -> DataFrame:
+    """At most ``n`` rows of each group, the first in ``order``: a dry-run knob."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
+
+
+def short_hash(length: int, *values: Column) -> Column:
+    """The first digits of the SHA-256 of the values as canonical JSON."""
+    body = F.to_json(F.array(*(v.cast("string") for v in values)), {"ignoreNullFields": "false"})
+    return F.substring(F.sha2(body, 256), 1, length)

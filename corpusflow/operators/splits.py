@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusflow.operators.timing import streamed
 from corpusflow.sizing import prefix_totals
 
+
 def hash_key(salt: str, *keys: Column) -> Column:
     """The hash that orders rows: md5 of the salt and the keys."""
     return F.md5(F.concat_ws("|", F.lit(salt), *keys))

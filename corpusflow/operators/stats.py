@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusflow.functions.text import collapsed, word_units
 
@@ -46,6 +47,20 @@ def independent_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counted.select(dimension.alias("dimension"), value.alias("value"), "n")
 
 
+def mixture_weights(hours: DataFrame, corpus: str, language: str, beta_corpus: float, beta_language: float) -> DataFrame:
+    """Sampling weights: a language's share of hours to the power of one beta, times a corpus' share within it to the other.
+
+    Rows are a corpus and language each, so the windows are over a handful of rows.
+    """
+    by_language = Window.partitionBy(language)
+    out = hours.withColumn("_l", F.sum("hours").over(by_language))
+    inner = F.pow(F.col("hours") / F.col("_l"), F.lit(beta_corpus))
+    out = out.withColumn("_inner", inner / F.sum(inner).over(by_language)).withColumn("_outer", F.pow("_l", F.lit(beta_language)))
+    first = F.when(F.row_number().over(by_language.orderBy(corpus)) == 1, F.col("_outer"))
+    out = out.withColumn("_first", first).withColumn("_whole", F.sum("_first").over(Window.partitionBy()))
+    return out.select(corpus, language, (F.col("_inner") * F.col("_outer") / F.col("_whole")).alias("weight"))
+
+
 def hours_by(df: DataFrame, group: Column, duration: str) -> DataFrame:
     """Rows and hours of each group."""
     return df.groupBy(group).agg(F.count("*").alias("n_rows"), (F.sum(F.col(duration).cast("double")) / 3600.0).alias("hours"))

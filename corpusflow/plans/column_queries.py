@@ -112,6 +112,30 @@ def single_source_log(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "row_probabilities").filter(source_name(F.col("source")) == "qasr").groupBy("status").agg(F.count("*").alias("n_rows"))
 
 
+def routed_leaves(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents per leaf of their file name, with the leaf's language."""
+    leaf = columns.leaf_of(F.col("source_file"), {"masc_c": "masc_non_lev", "masc_c__bulk": "masc_bulk", "qasr": "qasr", "layla": "layla"}, "rest")
+    return table(spark, folder, "documents").groupBy(leaf.alias("leaf"), columns.language_of(leaf).alias("language")).agg(F.count("*").alias("n_rows"))
+
+
+def corpus_of_path(spark: SparkSession, folder: str) -> DataFrame:
+    """Split and corpus read from paths."""
+    split, corpus = columns.path_parts(F.col("original_audio_path"), "/data")
+    return table(spark, folder, "recordings").select("recording_id", split.alias("first_part"), corpus.alias("corpus"))
+
+
+def numbered_uids(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbered names and short hashes of log rows."""
+    rows = table(spark, folder, "row_probabilities").select("source_row_key", "row_idx").distinct()
+    name = columns.numbered_uid(F.lit("c"), F.lit("train"), F.col("row_idx") % 7, F.lit(3), F.col("row_idx"))
+    return rows.select("source_row_key", name.alias("name"), columns.short_hash(16, F.col("source_row_key"), F.col("row_idx")).alias("short"))
+
+
+def capped_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """At most five documents of each file."""
+    return columns.capped(table(spark, folder, "documents").select("doc_id", "source_file"), "source_file", [F.col("doc_id")], 5)
+
+
 _CANONICAL = f"""(case when {sql.source_name('source')} in ('masc_c', 'masc', 'masc_c_only') then 'masc_c'
   when {sql.source_name('source')} in ('qasr', 'processed_segments') then 'qasr' else nullif({sql.source_name('source')}, '') end)"""
 
@@ -119,7 +143,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         source_canonical, source_from_row, row_uids, dataset_from_path, stable_file_ids, first_text_per_row, safe_casts, paths_and_parts, union_aligned, union_tagged,
-        merged_without_clash, replace_subset_guarded, dedup_keep_first, grouped_sources, single_source_log,
+        merged_without_clash, replace_subset_guarded, dedup_keep_first, grouped_sources, single_source_log, routed_leaves, corpus_of_path, numbered_uids, capped_rows,
     )
 }
 SQL = {
@@ -153,4 +177,12 @@ from documents group by all""",
     "grouped_sources": f"""select case when {sql.source_name('source')} in ('casablanca_jordanian', 'casablanca_palestinian', 'omnilingual_apc', 'layla') then 'levant' else 'other' end as "group",
   count(*) as n_recordings from recordings group by all""",
     "single_source_log": f"select status, count(*) as n_rows from row_probabilities where {sql.source_name('source')} = 'qasr' group by all",
+    "routed_leaves": """with l as (select case when starts_with(source_file, 'masc_c__bulk') then 'masc_bulk' when starts_with(source_file, 'masc_c') then 'masc_non_lev'
+  when starts_with(source_file, 'layla') then 'layla' when starts_with(source_file, 'qasr') then 'qasr' else 'rest' end as leaf from documents)
+select leaf, case when leaf = 'masc_non_lev' then 'arb_Arab' else 'apc_Arab' end as language, count(*) as n_rows from l group by all""",
+    "corpus_of_path": """select recording_id, string_split(original_audio_path, '/')[3] as first_part,
+  array_to_string(list_slice(string_split(original_audio_path, '/'), 4, -2), '_') as corpus from recordings""",
+    "numbered_uids": """select distinct source_row_key, 'c_train_' || lpad((row_idx % 7)::varchar, 5, '0') || '_0003_' || lpad(row_idx::varchar, greatest(4, length(row_idx::varchar))::int, '0') as name,
+  substring(sha256('["' || source_row_key || '","' || row_idx::varchar || '"]'), 1, 16) as short from row_probabilities""",
+    "capped_rows": "select doc_id, source_file from documents qualify row_number() over (partition by source_file order by doc_id) <= 5",
 }

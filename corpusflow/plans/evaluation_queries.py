@@ -140,6 +140,13 @@ def mixture_hours(spark: SparkSession, folder: str) -> DataFrame:
     return stats.mixture_hours(rows, "corpus", "language", "part", "duration").withColumn("hours", F.round("hours", 6))
 
 
+def mixture_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """Sampling weights of corpora and languages from their train hours."""
+    rows = table(spark, folder, "segments").filter("language is not null").withColumns({"corpus": source_name(F.col("source")), "part": split_name(F.col("split"))})
+    hours = stats.mixture_hours(rows, "corpus", "language", "part", "duration")
+    return stats.mixture_weights(hours, "corpus", "language", 0.5, 0.25).withColumn("weight", F.round("weight", 6))
+
+
 def mixture_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Rows by split, by source and by language in one pass."""
     rows = table(spark, folder, "segments").select(split_name(F.col("split")).alias("split"), source_name(F.col("source")).alias("corpus"), "language")
@@ -241,7 +248,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         wer_cer_per_row, metrics_six, metrics_by_source, base_vs_tuned, prediction_contract, prediction_health, best_epoch_early_stop, prepare_seq2seq, prepare_chat, prepare_ctc,
-        prediction_normalize, manifest_contract, collated_batches, mock_predictions, mock_losses, duration_stats, text_stats_by_split, mixture_hours, mixture_counts, clock_texts,
+        prediction_normalize, manifest_contract, collated_batches, mock_predictions, mock_losses, duration_stats, text_stats_by_split, mixture_hours, mixture_weights, mixture_counts, clock_texts,
         pcm_and_kind, pcm_energy, model_map, event_windows,
     )
 }
@@ -289,6 +296,11 @@ select leaf, count(d) as n, round(avg(d), 6) as mean, round(median(d), 6) as med
 select part, count(*) as n_rows, round(avg(d), 6) as duration_mean, round(min(d), 6) as duration_min, round(max(d), 6) as duration_max, round(avg(c), 6) as chars_mean, min(c)::int as chars_min,
   max(c)::int as chars_max, round(avg(w), 6) as words_mean, min(w)::int as words_min, max(w)::int as words_max from m group by part""",
     "mixture_hours": f"""select {sql.source_name('source')} as corpus, language, round(sum(duration::double) / 3600, 6) as hours from segments where {sql.split_name('split')} = 'train' group by all""",
+    "mixture_weights": f"""with h as (
+  select {sql.source_name('source')} as corpus, language, sum(duration::double) / 3600 as hours from segments where {sql.split_name('split')} = 'train' and language is not null group by all
+), l as (select language, sum(hours) as total from h group by language), i as (
+  select corpus, language, pow(hours / total, 0.5) as w, pow(total, 0.25) as o from h join l using (language)
+) select corpus, language, round(w / sum(w) over (partition by language) * o / (select sum(pow(total, 0.25)) from l), 6) as weight from i""",
     "mixture_counts": f"""with r as (select {sql.split_name('split')} as split, {sql.source_name('source')} as corpus, language from segments)
 select 'split' as dimension, split as value, count(*) as n from r group by split union all select 'corpus', corpus, count(*) from r group by corpus
 union all select 'language', language, count(*) from r group by language""",

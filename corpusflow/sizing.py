@@ -73,12 +73,14 @@ def lookup(big: DataFrame, table: DataFrame, keys: list[str], how: str = "inner"
     """Join ``table`` (one row per key) to ``big`` without letting a hot key fall into one task.
 
     A table of at most ``rows`` rows is broadcast. A larger one is copied ``SALTS``
-    times and joined on key and salt, so the rows of any key spread over ``SALTS`` tasks.
+    times and joined on key and salt, so the differing rows of a key spread over ``SALTS`` tasks.
     ``how`` is one of inner, left, left_semi, left_anti. Null keys never match.
     """
     if is_small(table, rows):
         return big.join(F.broadcast(table), keys, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    # The salt comes from the row's own values, so a task that runs again deals its rows the same way.
+    others = [c for c, kind in big.dtypes if c not in keys and "map<" not in kind] or keys
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
