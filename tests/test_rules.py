@@ -153,3 +153,11 @@ def test_prefix_totals(spark):
     df = spark.createDataFrame(rows, "g string, bucket int, i int, v int")
     found = {r["i"]: r["t"] for r in prefix_totals(df, ["g"], "bucket", [F.col("i")], "v", "t").collect()}
     assert found == {i: sum(x for x in range(i + 1) if x % 2 == i % 2) for i in range(100)}
+
+
+def test_ordinals_follow_files_and_keep_nulls(spark):
+    rows = [(leaf, f, i) for leaf in ("a", None) for f in ("f2", "f1", None) for i in range(5)]
+    df = spark.createDataFrame(rows, "leaf string, file string, i int").repartition(3)
+    found = {(r["leaf"], r["file"], r["i"]): (r["ordinal"], r["shard_id"]) for r in timing.row_shards(df, "leaf", "file", "i", 4).collect()}
+    place = {None: 0, "f1": 5, "f2": 10}
+    assert found == {(leaf, f, i): (place[f] + i, (place[f] + i) // 4) for leaf, f, i in rows}
