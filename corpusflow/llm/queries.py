@@ -84,6 +84,11 @@ def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mix_sources(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"))[0]
 
 
+def p7_uses(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each chosen document is used."""
+    return p7_mix(spark, folder).groupBy("doc_id", "source").agg(F.count("*").alias("n_uses"), F.sum("n_tokens").alias("used_tokens"))
+
+
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Target and actual share of each source."""
     return mixture.mix_sources(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"))[1]
