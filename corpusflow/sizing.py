@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows up to which a lookup table may be broadcast; beyond it the join is shuffled.
-BROADCAST_ROWS = 50_000
+#: Rows and bytes up to which a lookup table may be broadcast; beyond either the join is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 32 << 20
 #: Copies of a lookup row over which the rows of a hot key are spread.
 SALTS = 8
 
@@ -64,15 +64,22 @@ def release(*tables: DataFrame) -> None:
 atexit.register(release)
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than it must to know."""
-    return df.limit(rows + 1).count() <= rows
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and about ``size`` bytes; reads no more rows than it must to know."""
+    held = F.lit(8 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            held = held + F.coalesce(F.octet_length(f"`{name}`"), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            held = held + F.coalesce(F.octet_length(F.to_json(F.struct(f"`{name}`"))), F.lit(0))
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(held), F.lit(0))).first()
+    return n <= rows and total <= size
 
 
 def lookup(big: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join ``table`` (one row per key) to ``big`` without letting a hot key fall into one task.
 
-    A table of at most ``rows`` rows is broadcast. A larger one is copied ``SALTS``
+    A table of at most ``rows`` rows and ``BROADCAST_BYTES`` is broadcast. A larger one is copied ``SALTS``
     times and joined on key and salt, so the differing rows of a key spread over ``SALTS`` tasks.
     ``how`` is one of inner, left, left_semi, left_anti. Null keys never match.
     """

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.operators import evaluate, splits, timing
-from corpusflow.sizing import lookup, prefix_totals
+from corpusflow.sizing import is_small, lookup, prefix_totals
 
 
 def resolved(segments, duration):
@@ -161,3 +161,9 @@ def test_ordinals_follow_files_and_keep_nulls(spark):
     found = {(r["leaf"], r["file"], r["i"]): (r["ordinal"], r["shard_id"]) for r in timing.row_shards(df, "leaf", "file", "i", 4).collect()}
     place = {None: 0, "f1": 5, "f2": 10}
     assert found == {(leaf, f, i): (place[f] + i, (place[f] + i) // 4) for leaf, f, i in rows}
+
+
+def test_small_means_rows_and_bytes(spark):
+    df = spark.createDataFrame([("x" * 1000, [1, 2], None)] * 10, "t string, a array<int>, b binary")
+    assert is_small(df) and is_small(df, 10) and not is_small(df, 9)
+    assert not is_small(df, 100, 5_000) and is_small(df.limit(0), 0, 0)
