@@ -177,13 +177,16 @@ def find_limits(lengths: DataFrame) -> DataFrame:
 
 
 def short_rests(ends: DataFrame) -> DataFrame:
-    """``source, longest_rest``: so few words almost no closed text of the source ends its last sentence with."""
-    sizes = ends.filter("closed").groupBy("source", "rest").agg(F.count("*").alias("n"))
+    """``source, longest_rest``: so few words almost no closed text of the source ends its last sentence with.
+
+    Lengths that no closed text has count as well. Dots may stand for a rest, so they close no text here.
+    """
+    sizes = ends.filter("closed and not dotted").groupBy("source", "rest").agg(F.count("*").alias("n"))
     upward = Window.partitionBy("source").orderBy("rest")
     share = F.sum("n").over(upward) / F.sum("n").over(Window.partitionBy("source"))
     enough = F.sum("n").over(Window.partitionBy("source")) >= CLOSED
-    rare = sizes.select("source", "rest", share.alias("share"), enough.alias("enough")).filter(F.col("enough") & (F.col("share") <= SHORT_SHARE))
-    return rare.groupBy("source").agg(F.max("rest").alias("longest_rest"))
+    common = sizes.select("source", "rest", share.alias("share"), enough.alias("enough")).filter(F.col("enough") & (F.col("share") > SHORT_SHARE))
+    return common.groupBy("source").agg((F.min("rest") - 1).alias("longest_rest"))
 
 
 def truncated_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:

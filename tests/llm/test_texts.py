@@ -185,3 +185,17 @@ def test_cut_texts(spark):
     counts = {r["source"]: (r["n_documents"], r["n_cut"]) for r in report.collect()}
     assert counts["other"] == (6, 6) and counts[None] == (2, 0) and counts["s"] == (234, 27)
     assert truncation.truncated_documents(df.limit(0))[0].count() == 0
+
+
+def test_rests_shorter_than_any_closed(spark):
+    words = ["baker", "citadel", "fathom", "gondola", "lantern", "meadow", "pilgrim", "saddle"]
+    some = lambda i, n: " ".join(words[(i + k) % len(words)] for k in range(n))
+    closed = [(i, f"{some(i, 9)}. {some(i + 3, 3 + i % 5)}.", "s") for i in range(120)]
+    dotted = [(1000 + i, f"{some(i, 9)}. {some(i, 1)}...", "s") for i in range(9)]
+    few = [(2000 + i, f"{some(i, 9)}. {some(i, 5)}.", "few") for i in range(9)]
+    cut = [(3000, f"{some(0, 9)}. {some(1, 1)}", "S"), (3001, f"{some(1, 12)}. {some(2, 2)}", "s")]
+    whole = [(4000, f"{some(2, 15)}. {some(3, 3)}", "s"), (4001, f"{some(3, 9)}. {some(4, 2)}", "few"), (4002, f"{some(4, 18)}. {some(5, 2)}...", "s")]
+    found, _ = truncation.truncated_documents(documents(spark, closed + dotted + few + cut + whole))
+    got = {r["doc_id"]: r["short_rest"] for r in found.collect()}
+    assert {d for d, short in got.items() if short} == {3000, 3001}
+    assert not set(got) & {d for d, *_ in closed + few + whole}
