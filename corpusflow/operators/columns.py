@@ -138,8 +138,8 @@ def leaf_of(file_name: Column, prefixes: Mapping[str, str], default: str | None
 
 
 def numbered_uid(corpus: Column, split: Column, part: Column, group: Column, row: Column) -> Column:
-    """``corpus_split_00001_0002_0003``."""
-    pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    """``corpus_split_00001_0002_0003``; longer numbers stay whole."""
+    pad = lambda c, n: F.lpad(c.cast("string"), F.greatest(F.lit(n), F.length(c.cast("string"))), F.lit("0"))
     return F.concat_ws("_", corpus, split, pad(part, 5), pad(group, 4), pad(row, 4))
 
 

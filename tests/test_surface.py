@@ -52,3 +52,10 @@ def test_columns_by_schema_and_by_row(spark):
     assert aligned.dtypes == [("id", "bigint"), ("extra", "double"), ("sentence", "string")]
     numbers = spark.createDataFrame([("1.5",), ("x",), ("nan",), (None,)], "n string")
     assert [r[0] for r in numbers.select(columns.safe_double(F.col("n"))).collect()] == [1.5, None, None, None]
+
+
+def test_numbers_longer_than_their_width_stay_whole(spark):
+    rows = [(7, 12, 345), (123456, 10000, 15006), (123457, 10001, 15007), (None, 1, 2)]
+    numbers = [F.col(c) for c in ("part", "group", "row")]
+    names = spark.createDataFrame(rows, "part bigint, group bigint, row bigint").select(columns.numbered_uid(F.lit("c"), F.lit("val"), *numbers))
+    assert [r[0] for r in names.collect()] == ["c_val_00007_0012_0345", "c_val_123456_10000_15006", "c_val_123457_10001_15007", "c_val_0001_0002"]
