@@ -80,6 +80,11 @@ def _rest(seen: str) -> tuple[int, bool]:
     return len(words(body[at + 1 :])), len(body) < len(seen)
 
 
+def _stopped(body: str) -> bool:
+    """Whether a sentence mark, closing sign or symbol ends the text, so an open pair before it shows no cut."""
+    return not body or body[-1] in SENTENCE_MARKS + '"' or unicodedata.category(body[-1]) in ("Pe", "Pf", "So")
+
+
 def _left_open(text: str) -> bool:
     """Whether the last bracket or quote of the text was opened and not closed."""
     return any((at := text.rfind(a)) >= 0 and text.find(b, at) < 0 for a, b in PAIRS.items())
@@ -104,7 +109,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append(
                 (
                     *(xxhash.xxh3_64_intdigest(text) >> 1, len(text), len(text.rstrip(BROKEN).encode()), token, dotted, body.endswith(BROKEN)),
-                    *(lettered and not dotted and not _closing_line(body) and _left_open(body), *_rest(text.rstrip(_UNSEEN))),
+                    *(not dotted and not _stopped(body) and not _closing_line(body) and _left_open(body), *_rest(text.rstrip(_UNSEEN))),
                 )
             )
         columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(list(_SCHEMA)[2:-2])]

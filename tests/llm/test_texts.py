@@ -199,3 +199,12 @@ def test_rests_shorter_than_any_closed(spark):
     got = {r["doc_id"]: r["short_rest"] for r in found.collect()}
     assert {d for d, short in got.items() if short} == {3000, 3001}
     assert not set(got) & {d for d, *_ in closed + few + whole}
+
+
+def test_open_pairs_need_no_letter_at_the_end(spark):
+    start = "pilgrim saddle lantern meadow."
+    cut = [f"{start} See {end}" for end in ("(12", "(baker, ", "(", "«", "[baker: 7", "(baker")]
+    whole = [f"{start} See {end}" for end in ("(12)", "«baker»", "(baker, saddle.", "(baker?", "(baker\n♪", "baker, 12", "(1) [baker]", "(baker\n[end]", "(12...")]
+    found, _ = truncation.truncated_documents(documents(spark, [(i, t, "s") for i, t in enumerate(cut + whole)]))
+    assert {r["doc_id"] for r in found.filter("open_pair").collect()} == set(range(len(cut)))
+    assert found.count() == len(cut)
