@@ -11,21 +11,32 @@ from pyspark.sql.window import Window
 from corpusflow.functions.text import char_units, normalized_basic, normalized_loose, word_units
 
 FORMS = {"": lambda c: F.coalesce(c, F.lit("")), "normalized_": normalized_basic, "loose_": normalized_loose}
+# The first character that stands for a word, the surrogates, and the words that characters are left for.
+_FIRST, _SURROGATES, _N_SURROGATES = 0x4E00, 0xD800, 0x800
+MOST_WORDS = 0x110000 - _FIRST - _N_SURROGATES
 
 
 def word_distance(reference: Column, hypothesis: Column) -> Column:
     """Edit distance over words: each distinct word of the pair becomes one character, then the built-in distance.
 
-    Pairs may hold up to 20,000 distinct words; the distance is quadratic in the length.
+    Characters from U+4E00 on stand for words, surrogates left out. A pair of more than
+    ``MOST_WORDS`` distinct words raises an error; the distance is quadratic in the length.
     """
     words = F.array_distinct(F.concat(reference, hypothesis))
 
+    def letter(place: Column) -> Column:
+        point = (place + F.when(place < _SURROGATES - _FIRST + 1, _FIRST - 1).otherwise(_FIRST - 1 + _N_SURROGATES)).cast("bigint")
+        return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+
     def letters(units: Column, known: Column) -> Column:
-        code = lambda w: F.decode(F.unhex(F.lpad(F.hex((F.array_position(known, w) + 0x4DFF).cast("bigint")), 4, "0")), "UTF-16BE")
-        return F.array_join(F.transform(units, code), "")
+        return F.array_join(F.transform(units, lambda w: letter(F.array_position(known, w))), "")
+
+    def distance(known: Column) -> Column:
+        too_many = F.raise_error(F.lit(f"a pair of more than {MOST_WORDS} distinct words")).cast("int")
+        return F.when(F.size(known) > MOST_WORDS, too_many).otherwise(F.levenshtein(letters(reference, known), letters(hypothesis, known)))
 
     # The inner array binds `words` once for both sides.
-    return F.transform(F.array(words), lambda known: F.levenshtein(letters(reference, known), letters(hypothesis, known)))[0]
+    return F.transform(F.array(words), distance)[0]
 
 
 def pair_errors(df: DataFrame, reference: str, hypothesis: str, keep: Sequence[str] = ()) -> DataFrame:

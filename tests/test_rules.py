@@ -121,6 +121,22 @@ def test_word_distance(spark):
     assert [r[0] for r in df.select(evaluate.word_distance(F.col("r"), F.col("h"))).collect()] == [edit(a, b) for a, b in pairs]
 
 
+def test_word_distance_of_many_words(spark):
+    # Many words on one side only, so the distance stays cheap; past 35,328 words characters would be surrogates.
+    numbered = lambda a, b: F.transform(F.sequence(F.lit(a), F.lit(b), F.lit(1 if a < b else -1)), lambda i: i.cast("string"))
+    pairs = {"swapped": (numbered(1, 36_000), numbered(36_000, 35_981), 35_999), "end": (numbered(1, 36_000), numbered(35_991, 36_000), 35_990), "few": (numbered(1, 30), numbered(2, 31), 2)}
+    for name, (reference, hypothesis, distance) in pairs.items():
+        df = spark.range(1).select(reference.alias("r"), hypothesis.alias("h"))
+        assert df.select(evaluate.word_distance(F.col("r"), F.col("h"))).first()[0] == distance, name
+
+
+def test_word_distance_past_its_bound(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "MOST_WORDS", 3)
+    df = spark.createDataFrame([(["a", "b"], ["c", "d"])], "r array<string>, h array<string>")
+    with pytest.raises(Exception, match="more than 3 distinct words"):
+        df.select(evaluate.word_distance(F.col("r"), F.col("h"))).collect()
+
+
 def test_error_rates(spark):
     reference = "مرحبا هذا مثال اختبار صغير"
     golden = {"[smoke whisper prediction] " + reference: (0.6, 1.0909090909090908), "[smoke qwen prediction] " + reference: (0.6, 0.9545454545454546), "[smoke omni prediction]": (1.0, 1.0)}
