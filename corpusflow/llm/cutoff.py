@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,6 +42,16 @@ def _targets(targets: DataFrame) -> DataFrame:
     return named.groupBy("source", "score_field").agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.max("target_fraction"))).alias("target_fraction"))
 
 
+def wanted_rank(fraction: Column, n: Column) -> Column:
+    """The least whole number of ``n`` records whose share, as the report divides it, is at least ``fraction``.
+
+    The product of a fraction and a count may be off by its last digit either way, so its
+    floor is tried first; no tolerance grows with the count.
+    """
+    low = F.floor(fraction * n)
+    return F.when(n == 0, F.lit(0)).when(low / n >= fraction, low).otherwise(low + 1).cast("bigint")
+
+
 def find_cutoffs(scored: DataFrame, targets: DataFrame, bins: int = BINS) -> DataFrame:
     """``source, score_field, target_fraction, n_scored, n_wanted, cutoff``: the highest score that keeps the fraction.
 
@@ -53,9 +63,7 @@ def find_cutoffs(scored: DataFrame, targets: DataFrame, bins: int = BINS) -> Dat
     keys = ["source", "score_field"]
     counts = scored.groupBy(*keys).agg(F.count("*").alias("n_scored"), F.min("score").alias("low"), F.max("score").alias("high"))
     state = _targets(targets).join(counts, keys, "left").withColumn("n_scored", F.coalesce("n_scored", F.lit(0)))
-    # A hair is taken off so that a product like 0.1 * 30 isn't lifted over its whole number.
-    wanted = F.ceil(F.col("target_fraction") * F.col("n_scored") - F.lit(1e-9) * F.greatest(F.lit(1), "n_scored"))
-    state = saved(state.withColumn("n_wanted", wanted.cast("bigint")).withColumn("above", F.lit(0).cast("bigint")))
+    state = saved(state.withColumn("n_wanted", wanted_rank(F.col("target_fraction"), F.col("n_scored"))).withColumn("above", F.lit(0).cast("bigint")))
     done = state.filter("n_wanted <= 0 or low = high or low is null").withColumn("cutoff", F.when(F.col("n_wanted") > 0, F.col("low")))
     out = ["source", "score_field", "target_fraction", "n_scored", "n_wanted", "cutoff"]
     found, open_targets = done.select(*out), state.filter("n_wanted > 0 and low < high")

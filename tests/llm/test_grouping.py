@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.llm.components import connected_components
-from corpusflow.llm.cutoff import find_cutoffs, kept_records, scored_records
+from corpusflow.llm.cutoff import find_cutoffs, kept_records, scored_records, wanted_rank
 from corpusflow.llm.grouped_split import assign_splits, place, split_shares, torn_groups
 
 SEGMENTS = "uid string, recording_id string, speaker_id string, split string, source string, dialect string, label string, `group` string"
@@ -135,3 +135,19 @@ def test_hot_source(spark):
     df = spark.range(5000).select(F.concat(F.lit("u"), "id").alias("uid"), F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("source"), ((F.col("id") * 7919) % 5000 / 5000.0).alias("a"))
     kept, _ = kept_records(df, spark.createDataFrame([("hot", "a", 0.25)], CUTS))
     assert kept.count() == math.ceil(0.25 * df.filter("source = 'hot'").count())
+
+
+def test_wanted_rank_of_many_records(spark):
+    known = [(0.001, 2_000_001, 2001), (0.001, 2_000_000, 2000), (0.1, 30, 3), (0.1, 3, 1), (5 / 6, 6, 5), (2 / 3, 3, 2), (0.07, 100, 7), (0.375, 10**9, 375 * 10**6), (0.123, 10**9 + 1, 123 * 10**6 + 1), (1.0, 7, 7), (0.0, 7, 0), (0.5, 0, 0), (1e-20, 5, 1)]
+    rng = random.Random(2)
+    drawn = [(f"0.{rng.randint(1, 9999):04d}", rng.randint(1, 10**9)) for _ in range(300)]
+    known += [(float(f), n, -(-int(f[2:]) * n // 10**4)) for f, n in drawn]
+    df = spark.createDataFrame([(i, f, n) for i, (f, n, _) in enumerate(known)], "i int, f double, n bigint")
+    found = {r[0]: r[1] for r in df.select("i", wanted_rank(F.col("f"), F.col("n"))).collect()}
+    assert found == {i: w for i, (_, _, w) in enumerate(known)}
+
+
+def test_cutoff_of_many_records(spark):
+    scored = spark.range(2_000_001).select(F.lit("s").alias("source"), F.lit("a").alias("score_field"), (F.col("id") / 2_000_001.0).alias("score"))
+    cut = find_cutoffs(scored, spark.createDataFrame([("s", "a", 0.001)], CUTS)).first()
+    assert cut["n_wanted"] == 2001 and scored.filter(F.col("score") >= cut["cutoff"]).count() == 2001
