@@ -17,19 +17,19 @@ def hash_key(salt: str, *keys: Column) -> Column:
 
 
 def check_ratios(*ratios: float) -> None:
-    """Ratios must add up to one."""
-    if abs(sum(ratios) - 1.0) > 1e-9:
-        raise ValueError("split ratios must add up to 1")
+    """Ratios must not be negative and add up to one."""
+    if not all(r >= 0 for r in ratios) or abs(sum(ratios) - 1.0) > 1e-9:
+        raise ValueError("split ratios must not be negative and add up to 1")
 
 
-def exact_split(df: DataFrame, leaf: str, key: str, seed: int = 42, train: float = 0.7, val: float = 0.15) -> DataFrame:
+def exact_split(df: DataFrame, leaf: str, key: str, seed: int = 42, train: float = 0.7, val: float = 0.15, test: float = 0.15) -> DataFrame:
     """``df`` with ``new_split``: exactly the floor of each share of a leaf to train and val, the rest to test.
 
     Rows stand in the order of a seeded hash. A row's ordinal is its place within a hash
     bucket plus the rows of earlier buckets, so a leaf of any size is never one sort task.
     A null leaf is a leaf of its own.
     """
-    check_ratios(train, val, 1 - train - val)
+    check_ratios(train, val, test)
     order = hash_key(f"{seed}", F.coalesce(F.col(leaf), F.lit("")), F.col(key).cast("string"))
     # 4,096 buckets by the first digits of the hash, all of like size.
     keyed = df.withColumns({"_leaf": F.coalesce(F.col(leaf), F.lit("")), "_hash": order, "_one": F.lit(1)}).withColumn("_bucket", F.substring("_hash", 1, 3))

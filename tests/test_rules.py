@@ -69,6 +69,12 @@ def test_ratios():
         splits.check_ratios(0.5, 0.6)
 
 
+@pytest.mark.parametrize("ratios", [(0.7, 0.2, 0.2), (0.8, 0.3, -0.1), (0.5, 0.2, 0.2), (float("nan"), 0.5, 0.5)])
+def test_exact_split_checks_its_ratios(spark, ratios):
+    with pytest.raises(ValueError, match="split ratios"):
+        splits.exact_split(spark.createDataFrame([("a", 1)], "leaf string, id int"), "leaf", "id", 42, *ratios)
+
+
 def test_greedy_budget(spark):
     rng = random.Random(3)
     rows = [(f"u{i}", rng.choice([0.0, -1.0, None, float("nan"), *map(float, range(1, 40))])) for i in range(120)]
