@@ -31,7 +31,7 @@ _PERIODS = """
 with rows as (
   select recording_id, cast(round(start_time * 1000) as bigint) as s, cast(round(end_time * 1000) as bigint) as e
   from segment_specs
-  where recording_id is not null and abs(start_time) <= 4503599627370.496 and abs(end_time) <= 4503599627370.496
+  where recording_id is not null and isfinite(start_time) and isfinite(end_time)
 ), reach as (
   select *, max(e) over (partition by recording_id order by s, e rows between unbounded preceding and 1 preceding) as before
   from rows where s < e
