@@ -11,8 +11,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,10 +25,21 @@ SALTS = 8
 _written: list[tuple[SparkSession, str]] = []
 
 
+def in_one_process(master: str) -> bool:
+    """Whether driver and executor are one process and share its disk."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a fresh local one only where it is unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset a session in one process gets a fresh local folder. On a cluster that is an error, for
+    every executor would write to a disk of its own and the table read back would lack the others' rows.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not in_one_process(spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="corpusflow-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -36,11 +48,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read again: no lineage, survives lost executors."""
+    return saved_with(df)[0]
+
+
+def saved_with(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict[str, Any]]:
+    """``saved``, and aggregates of ``df`` taken while it is written, so they cost no pass of their own."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/corpusflow/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    seen = Observation() if figures else None
+    watched = df.observe(seen, *(c.alias(name) for name, c in figures.items())) if seen else df
+    watched.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get if seen else {}
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from pathlib import Path
 from typing import Any
 
@@ -35,10 +35,11 @@ def write_table(df: DataFrame, path: str, order: Sequence[Column], sep: str = ",
     df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
 
 
-def markdown(df: DataFrame, title: str, rows: int = 1000) -> str:
-    """A report of at most ``rows`` rows as a Markdown table."""
-    head = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(head + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in df.limit(rows).collect()]) + "\n"
+def markdown(df: DataFrame, title: str) -> Iterator[str]:
+    """The lines of a report as a Markdown table, one by one and all of them; the driver holds one partition at a time."""
+    yield from (f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns))
+    for row in df.toLocalIterator():
+        yield "| " + " | ".join("" if v is None else str(v) for v in row) + " |"
 
 
 def file_manifest(df: DataFrame) -> DataFrame:

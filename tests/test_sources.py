@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corpusflow import sizing
 from corpusflow.operators import audit, scoring
 from corpusflow.sources import readers, sinks
 from corpusflow.streaming.resume import run_new_files, windowed_counts
@@ -78,7 +79,7 @@ def test_routed_and_leaf_writes(spark, tmp_path):
     assert sinks.file_manifest(spark.read.parquet(leaves)).agg(F.sum("n_rows")).first()[0] == 2
     sinks.write_table(df, str(tmp_path / "t"), [F.col("id")], "\t")
     assert spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "t")).count() == 3
-    assert sinks.markdown(df.orderBy("id"), "T").splitlines()[2:5] == ["| id | drop_reason |", "|---|---|", "| 1 |  |"]
+    assert list(sinks.markdown(df.orderBy("id"), "T"))[2:5] == ["| id | drop_reason |", "|---|---|", "| 1 |  |"]
 
 
 def test_cached_by_content(spark, tmp_path):
@@ -140,3 +141,28 @@ def test_guards_raise(spark):
 def test_wave_bytes():
     data = io.BytesIO()
     assert data.getvalue() == b""
+
+
+def test_a_report_keeps_every_row(spark):
+    lines = list(sinks.markdown(spark.range(1001), "T"))
+    assert len(lines) == 4 + 1001 and lines[-1] == "| 1000 |"
+
+
+def test_no_folder_of_its_own_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    unset = lambda master: SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    for master in ("spark://host:7077", "yarn", "k8s://host", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            sizing.shared_folder(unset(master))
+    named = SimpleNamespace(conf={"spark.checkpoint.dir": "hdfs:///shared/"}, sparkContext=None)
+    assert sizing.shared_folder(named) == "hdfs:///shared"
+    assert sizing.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_saved_tables_know_their_figures_and_go(spark):
+    table, figures = sizing.saved_with(spark.range(7), n=F.count("*"), most=F.max("id"))
+    assert figures == {"n": 7, "most": 6} and table.count() == 7
+    before = len(sizing._written)
+    sizing.release(table)
+    assert len(sizing._written) == before - 1
