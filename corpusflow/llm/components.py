@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.sizing import lookup, saved
+from corpusflow.sizing import lookup, release, saved, saved_with
 
 #: A parent is hot when it has at least this share of all links; there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
@@ -69,18 +69,20 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     links = edges.select(F.col(a).cast("string").alias("c"), F.col(b).cast("string").alias("p"))
     links = links.filter("c is not null and p is not null and c != p")
-    links = saved(links.mapInArrow(_forest, "c string, p string").groupBy("c", "p").agg(F.lit(1).alias("one")).drop("one"))
+    links = links.mapInArrow(_forest, "c string, p string").groupBy("c", "p").agg(F.lit(1).alias("one")).drop("one")
+    links, figures = saved_with(links, n=F.count("*"))
     for _ in range(MAX_ROUNDS):
-        total = links.count()
         least = links.groupBy("c").agg(F.min("p").alias("m"))
-        jumped = saved(_jumped(links, least, total).groupBy("c", "p").agg(F.max("moved").alias("moved")))
+        jumped = saved(_jumped(links, least, figures["n"]).groupBy("c", "p").agg(F.max("moved").alias("moved")))
+        release(links)
         parents = jumped.groupBy("c").agg(F.min("p").alias("m"), F.count("*").alias("n"), F.max("moved").alias("moved"))
-        many, moved = parents.agg(F.max("n"), F.max("moved")).first()
-        if not moved and (many or 0) <= 1:
+        parents, settled = saved_with(parents, many=F.max("n"), moved=F.max("moved"))
+        if not settled["moved"] and (settled["many"] or 0) <= 1:
             return jumped.select(F.col("c").alias("node"), F.col("p").alias("component")).unionByName(
                 jumped.select(F.col("p").alias("node"), F.col("p").alias("component")).distinct()
             )
         several = parents.filter("n > 1").select("c", "m")
         rest = lookup(jumped.select("c", "p"), several, ["c"]).filter("p != m").select(F.col("p").alias("c"), F.col("m").alias("p"))
-        links = saved(parents.select("c", F.col("m").alias("p")).unionByName(rest).distinct())
+        links, figures = saved_with(parents.select("c", F.col("m").alias("p")).unionByName(rest).distinct(), n=F.count("*"))
+        release(jumped, parents)
     raise RuntimeError("components did not settle")

@@ -2,28 +2,31 @@
 
 Records that share a recording or a speaker, directly or through others, form a group.
 Groups get label vectors, and the groups with the rarest outstanding label are placed
-first, into the split that lacks most of it.
+first, into the split that lacks most of it. Every group is placed so, at every size: a
+label is a round, and in a round groups with as many records of the label and as many
+records in all are a class, of which only the number that each split gets is found in
+order. A class is then dealt out to its groups without gathering them.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import heapq
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from math import ceil, floor
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusflow.functions.reading import source_name, speaker_name, split_name
 from corpusflow.llm.components import connected_components
-from corpusflow.sizing import lookup, saved
+from corpusflow.sizing import lookup, prefix_totals, release, saved
 
-#: Groups with at least this share of all records are placed one by one; there are at most 1 / OWN_SHARE.
-OWN_SHARE = 1 / 4000
-#: All other groups are placed in this many blocks for each rarest label.
-BLOCKS = 64
-#: Most label values the vectors may have; more raise an error, for a label of many values says nothing about balance.
-MAX_LABELS = 500
+#: The label that every record has.
+ALL = ""
 
 
 @dataclass(frozen=True)
@@ -79,69 +82,134 @@ def torn_groups(segments: DataFrame) -> DataFrame:
     torn = groups.vectors.filter("kind = 'split' and value in ('train', 'val', 'test') and group like '0%'")
     torn = torn.groupBy("group").agg(F.count("*").alias("n_splits")).filter("n_splits >= 2")
     held = nodes.filter("recording is not null").select("group", "recording").distinct()
-    return held.join(torn, "group").select(F.substring("group", 2, 1 << 30).alias("group_id"), F.col("recording").alias("recording_id"), "n_splits")
+    return lookup(held, saved(torn), ["group"]).select(F.substring("group", 2, 1 << 30).alias("group_id"), F.col("recording").alias("recording_id"), "n_splits")
 
 
-def place(units: dict[str, dict[str, int]], shares: dict[str, float]) -> dict[str, str]:
-    """Split of each unit; ``units`` maps a unit to its label counts, ``""`` being its records.
+def most_needed(held: list[int], size: int, shares: list[float], room: list[float], n: int) -> list[int]:
+    """How many of ``n`` groups of ``size`` each split gets when one after the other goes where least of the share is ``held``.
 
-    The label with fewest outstanding records comes first; its units, largest first, go to
-    the split that lacks most of it, then most records, then first by name.
+    A split takes at most ``room`` groups. Ties go to the first. The level to which the
+    splits rise is searched first, so the work does not grow with ``n``.
     """
-    total: dict[str, float] = defaultdict(float)
-    for vector in units.values():
-        for label, n in vector.items():
-            total[label] += n
-    need = {s: {label: share * n for label, n in total.items()} for s, share in shares.items()}
-    left, open_units, placed = dict(total), dict(units), {}
-    while open_units:
-        rare = min((label for label, n in left.items() if n > 0 and label), key=lambda k: (left[k], k), default="")
-        having = [u for u, vector in open_units.items() if vector.get(rare, 0) > 0] if rare else list(open_units)
-        for u in sorted(having, key=lambda u: (-open_units[u].get(rare, 0), -open_units[u].get("", 0), u)):
-            vector = open_units.pop(u)
-            best = min(shares, key=lambda s: (-need[s].get(rare, 0), -need[s].get("", 0), s))
-            placed[u] = best
-            for label, n in vector.items():
-                need[best][label] -= n
-                left[label] -= n
-        if rare:
-            left[rare] = 0
-    return placed
+    n = int(min(n, sum(room)))
+
+    def under(level: float) -> list[int]:
+        return [int(min(r, max(0, ceil((level * p - h) / size)))) for h, p, r in zip(held, shares, room, strict=True)]
+
+    low, high = 0.0, 1.0
+    while sum(under(high)) < n:
+        high *= 2
+    for _ in range(100):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(under(level)) <= n else (low, level)
+    taken = [max(0, k - 1) for k in under(low)]  # the last ones are dealt in turn, so that rounding decides no tie
+    queue = [((h + k * size) / p, i) for i, (h, p, k, r) in enumerate(zip(held, shares, taken, room, strict=True)) if k < r]
+    heapq.heapify(queue)
+    for _ in range(n - sum(taken)):
+        _, i = heapq.heappop(queue)
+        taken[i] += 1
+        if taken[i] < room[i]:
+            heapq.heappush(queue, ((held[i] + taken[i] * size) / shares[i], i))
+    return taken
+
+
+def class_shares(size: int, records: int, n: int, held: list[int], held_all: list[int], shares: list[float], total: int) -> list[int]:
+    """Splits of ``n`` groups with ``size`` records of the label and ``records`` in all; adds them to both ``held``.
+
+    A group goes to the split with the largest part of its share of the label outstanding,
+    among the splits that lack all of the group's records, or among all if none does.
+    """
+    counts = [0] * len(shares)
+    for room in ([max(0, floor((p * total - a) / records)) for p, a in zip(shares, held_all, strict=True)], [float("inf")] * len(shares)):
+        left = n - sum(counts)
+        if left:
+            for i, k in enumerate(most_needed(held, size, shares, room, left)):
+                counts[i] += k
+                held[i] += k * size
+                held_all[i] += k * records
+    return counts
+
+
+def _dealt(held: list[int], held_all: list[int], shares: list[float], total: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Classes in their order, largest first, to the number of their groups that each split gets; keeps a number for each split."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, now_all = list(held), list(held_all)
+        for batch in batches:
+            counts = [class_shares(*row, now, now_all, shares, total) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(counts, pa.list_(pa.int64()))], names=["size", "records", "gets"])
+
+    return run
+
+
+def _with_splits(ranked: DataFrame, names: list[str]) -> DataFrame:
+    """``new_split`` by the ``ordinal`` of a group in its class: a split's groups lie evenly among those the earlier splits left."""
+    out = ranked.withColumns({"i": F.col("ordinal"), "left": F.aggregate("gets", F.lit(0).cast("bigint"), lambda a, x: a + x), "new_split": F.lit(None).cast("string")})
+    for at, name in enumerate(names):
+        upto, before = (F.expr(f"({i} * gets[{at}]) div greatest(left, 1)") for i in ("i", "(i - 1)"))
+        out = out.withColumns({"upto": upto, "new_split": F.coalesce("new_split", F.when(upto > before, F.lit(name)))})
+        out = out.withColumns({"i": F.col("i") - F.col("upto"), "left": F.col("left") - F.col("gets")[at]})
+    return out
+
+
+def place(groups: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """``group, new_split`` of ``group, records, counts``, the last a map of labels to record numbers above 0.
+
+    Rounds go from label to label, the one with fewest outstanding records first. The
+    driver holds a number for each label and split; a round's classes, at most one for each
+    pair of sizes, pass through one task that keeps a number for each split. Inside a
+    class, groups lie in the order of their vectors, so like ones are dealt out evenly.
+    """
+    names = sorted((s for s, x in shares.items() if x > 0), key=lambda s: (-shares[s], s))
+    parts = [shares[s] for s in names]
+    label = F.explode("counts").alias("label", "n")
+    left = {r["label"]: r["n"] for r in groups.select(label).groupBy("label").agg(F.sum("n").alias("n")).toLocalIterator()}
+    total = left[ALL] = groups.agg(F.sum("records")).first()[0] or 0
+    held = {x: [0] * len(names) for x in left}
+    entries = F.array_sort(F.map_entries("counts"))
+    groups = groups.withColumn("vector", F.md5(F.to_json(entries)))
+    done: list[str] = []
+    placed: list[DataFrame] = []
+    while left[ALL] > 0:
+        rare = min((x for x, n in left.items() if n > 0 and x != ALL), key=lambda x: (left[x], x), default=ALL)
+        seen = F.arrays_overlap(F.map_keys("counts"), F.array(*map(F.lit, done)).cast("array<string>"))
+        having = groups.filter(~seen).withColumn("size", F.col("records") if rare == ALL else F.try_element_at("counts", F.lit(rare))).filter("size > 0")
+        classes = having.groupBy("size", "records").agg(F.count("*").alias("n")).coalesce(1).sortWithinPartitions(F.desc("size"), F.desc("records"))
+        gets = saved(classes.mapInArrow(_dealt(held[rare], held[ALL], parts, total), "size bigint, records bigint, gets array<bigint>"))
+        # Buckets by vector and then by group, so neither a hot class nor a hot vector is one sort task.
+        keyed = having.withColumns({"one": F.lit(1), "key": F.md5("group")}).withColumn("bucket", F.concat(F.substring("vector", 1, 2), F.substring("key", 1, 2)))
+        ranked = prefix_totals(keyed, ["size", "records"], "bucket", [F.col("vector"), F.col("key"), F.col("group")], "one", "ordinal")
+        got = saved(_with_splits(lookup(ranked, gets, ["size", "records"]), names).select("group", "records", "counts", "new_split"))
+        release(gets)
+        every = F.explode(F.map_concat("counts", F.create_map(F.lit(ALL), F.col("records")))).alias("label", "n")
+        for r in got.select("new_split", every).groupBy("new_split", "label").agg(F.sum("n").alias("n")).toLocalIterator():
+            held[r["label"]][names.index(r["new_split"])] += r["n"]
+            left[r["label"]] -= r["n"]
+        done.append(rare)
+        placed.append(got.select("group", "new_split"))
+    return reduce(DataFrame.unionByName, placed) if placed else groups.select("group", F.lit("").alias("new_split"))
 
 
 def assign_splits(segments: DataFrame, targets: DataFrame, labels: tuple[str, ...] = ("source", "dialect")) -> DataFrame:
     """``uid, group_id, old_split, new_split``: one split per record, the same for all records of a group.
 
-    Groups of at least ``OWN_SHARE`` of the records are placed one by one, the others in
-    ``BLOCKS`` hashed blocks for each rarest label, so the driver holds a bounded number
-    of vectors at any size. Shares are scaled to one; a null share counts as none. Ties
-    are broken by name. An empty table gives an empty result.
+    ``labels`` are columns of few values: each value is a round of ``place``. Shares are
+    scaled to one; a null share counts as none. Ties go to the larger share, then by name. An empty table
+    gives an empty result. Components and rounds run jobs while the query is built.
     """
     shares = {r["split_name"]: float(r["target_share"] or 0) for r in targets.select("split_name", "target_share").collect() if r["split_name"]}
     if not shares or sum(shares.values()) <= 0:
         raise ValueError("split targets need a positive share")
     shares = {s: x / sum(shares.values()) for s, x in shares.items()}
     groups, _ = find_groups(segments, labels)
-    vectors = groups.vectors.filter("kind != 'split'").withColumn("label", F.when(F.col("kind") == "", "").otherwise(F.concat_ws("=", "kind", "value")))
-    totals = {r["label"]: r["n"] for r in vectors.groupBy("label").agg(F.sum("n").alias("n")).limit(MAX_LABELS + 2).collect()}
-    if len(totals) > MAX_LABELS + 1:
-        raise ValueError(f"more than {MAX_LABELS} label values")
-    by_rarity = sorted((x for x in totals if x), key=lambda x: (totals[x], x))
-    rank = F.create_map(*[F.lit(x) for i, label in enumerate(by_rarity) for x in (label, i)]) if by_rarity else None
-    rarest = F.min(F.when(F.col("label") != "", rank[F.col("label")])) if by_rarity else F.lit(0)
-    records = F.sum(F.when(F.col("label") == "", F.col("n")))
-    own = F.col("records") >= OWN_SHARE * totals.get("", 0)
-    block = F.concat_ws("/", F.lit("block"), F.coalesce("rarest", F.lit(-1)), F.pmod(F.xxhash64("group"), F.lit(BLOCKS)))
-    unit_of = saved(
-        vectors.groupBy("group").agg(rarest.alias("rarest"), records.alias("records")).select("group", F.when(own, F.col("group")).otherwise(block).alias("unit"))
+    label = F.concat_ws("=", "kind", "value")
+    vectors = groups.vectors.filter("kind != 'split'").groupBy("group").agg(
+        F.sum(F.when(F.col("kind") == "", F.col("n"))).alias("records"),
+        F.map_from_entries(F.collect_list(F.when(F.col("kind") != "", F.struct(label, "n")))).alias("counts"),  # a group's labels, not its records
     )
-    units: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in vectors.join(unit_of, "group").groupBy("unit", "label").agg(F.sum("n").alias("n")).toLocalIterator():
-        units[r["unit"]][r["label"]] = r["n"]
-    placed = segments.sparkSession.createDataFrame(list(place(units, shares).items()), "unit string, new_split string")
-    split_of = unit_of.join(F.broadcast(placed), "unit").select("group", "new_split")  # bounded: own groups and blocks
+    split_of = place(saved(vectors), shares)
     group_id = F.when(F.col("group").startswith("0"), F.substring("group", 2, 1 << 30)).otherwise(F.col("group"))
-    return groups.records.join(split_of, "group").select("uid", group_id.alias("group_id"), F.col("split").alias("old_split"), "new_split")
+    return lookup(groups.records, split_of, ["group"]).select("uid", group_id.alias("group_id"), F.col("split").alias("old_split"), "new_split")
 
 
 def split_shares(assigned: DataFrame, targets: DataFrame) -> DataFrame:
