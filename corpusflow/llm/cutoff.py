@@ -87,16 +87,22 @@ def find_cutoffs(scored: DataFrame, targets: DataFrame, bins: int = BINS) -> Dat
     raise RuntimeError("a cutoff did not settle")
 
 
+def score_fields(columns: list[str], targets: DataFrame) -> list[str]:
+    """The score fields that the targets name; one that is no column raises an error."""
+    named = targets.select("score_field").distinct().filter("score_field != ''")
+    is_column = F.col("score_field").isin(*columns)
+    if (missing := named.filter(~is_column).first()) is not None:
+        raise ValueError(f"no such score column: {missing['score_field']}")
+    return sorted(r["score_field"] for r in named.filter(is_column).collect())  # at most the columns of the table
+
+
 def kept_records(rows: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Kept records (``score_field, source, uid, score``) and the report of the cutoffs.
 
     The report has ``source, score_field, target_fraction, n_scored, cutoff, n_kept, kept_fraction``.
     Targets naming a field that the table lacks raise an error.
     """
-    fields = sorted({r["score_field"] for r in targets.select("score_field").distinct().limit(1000).collect() if r["score_field"]})
-    missing = [f for f in fields if f not in rows.columns]
-    if missing:
-        raise ValueError(f"no such score columns: {missing}")
+    fields = score_fields(rows.columns, targets)
     if not fields:
         empty = rows.sparkSession.createDataFrame([], "score_field string, source string, uid string, score double")
         return empty, empty.selectExpr("source", "score_field", "score target_fraction", "0L n_scored", "score cutoff", "0L n_kept", "score kept_fraction")
