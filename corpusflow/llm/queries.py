@@ -60,8 +60,14 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_unified(spark: SparkSession, folder: str) -> DataFrame:
-    """Every text of the two fields in its one form."""
-    return lookalike.unified_texts(_table(spark, folder, "segments"), "uid", _TEXT_FIELDS).select("field", "uid", "unified")
+    """Every text of the two fields in its one form, and the key of what a reader sees."""
+    texts = lookalike.unified_texts(_table(spark, folder, "segments"), "uid", _TEXT_FIELDS)
+    return texts.select("field", "uid", "unified", F.lower(F.hex("key")).alias("look_key"))
+
+
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Records with a same-looking twin: their class and their number of links."""
+    return lookalike.class_links(lookalike.same_looking_classes(_table(spark, folder, "segments"), "uid", _TEXT_FIELDS))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,15 +2,14 @@
 
 They follow the statement of each problem by another way than the operators: closures
 instead of components, all pairs instead of buckets, sets of word runs instead of suffix
-arrays. They are meant for the small tables.
+arrays. They are meant for the small tables. Their character tables are made here from
+the names in the Unicode data, so a mistake in the operators' tables shows.
 """
 
 from __future__ import annotations
 
 import unicodedata
 
-from corpusflow.llm import textforms
-
 _SOURCE = "translate(lower(trim(source)), '- ', '__')"
 _SPLIT = "case when lower(trim(split)) in ('dev', 'validation', 'val') then 'val' else lower(trim(split)) end"
 
@@ -30,14 +29,82 @@ def _mapped(source: str, result: str, table: str, expr: str = "{}") -> str:
 ), {result} as (select t, {agg} as p from {result}_cells left join {table} using (a) group by t)"""
 
 
+# Names of letters that print as these.
+_CYRILLIC = {
+    "SMALL": "A a, IE e, O o, ER p, ES c, U y, HA x, DZE s, BYELORUSSIAN-UKRAINIAN I i, JE j, KOMI DE d, SHHA h, QA q, WE w",
+    "CAPITAL": "A A, VE B, IE E, KA K, EM M, EN H, O O, ER P, ES C, TE T, HA X, U Y, DZE S, BYELORUSSIAN-UKRAINIAN I I, JE J",
+}
+_GREEK = {
+    "SMALL": "OMICRON o, ALPHA a, NU v, IOTA i, KAPPA k",
+    "CAPITAL": "ALPHA A, BETA B, EPSILON E, ZETA Z, ETA H, IOTA I, KAPPA K, MU M, NU N, OMICRON O, RHO P, TAU T, UPSILON Y, CHI X",
+}
+_ARABIC = {"KEHEH": "KAF", "HEH DOACHASHMEE": "HEH", "HEH GOAL": "HEH", "AE": "HEH"}
+_SAME_DIGITS = ("ZERO", "ONE", "TWO", "THREE", "SEVEN", "EIGHT", "NINE")
+# Names of letters that count as one among words.
+_ONE_AMONG_WORDS = {
+    "ALEF WITH HAMZA ABOVE": "ALEF", "ALEF WITH HAMZA BELOW": "ALEF", "ALEF WITH MADDA ABOVE": "ALEF", "ALEF WASLA": "ALEF", "ALEF MAKSURA": "YEH",
+    "YEH WITH HAMZA ABOVE": "YEH", "FARSI YEH": "YEH", "WAW WITH HAMZA ABOVE": "WAW", "TEH MARBUTA": "HEH",
+}
+_VISIBLE_FORMATS = ("ARABIC NUMBER", "ARABIC SIGN", "ARABIC FOOTNOTE", "ARABIC END", "ARABIC POUND", "ARABIC PIASTRE", "ARABIC DISPUTED", "SYRIAC", "INTERLINEAR")
+_FORMS = (" ISOLATED FORM", " FINAL FORM", " MEDIAL FORM", " INITIAL FORM")
+
+
+def _arabic(name: str) -> str:
+    return unicodedata.lookup(f"ARABIC LETTER {name}")
+
+
+def _twins() -> dict[str, str]:
+    """Letters and digits that print as others, the dotless or dotted yeh apart."""
+    out = {}
+    for script, sizes in (("CYRILLIC", _CYRILLIC), ("GREEK", _GREEK)):
+        for size, pairs in sizes.items():
+            for name, latin in (pair.rsplit(" ", 1) for pair in pairs.split(", ")):
+                out[unicodedata.lookup(f"{script} {size} LETTER {name}")] = latin
+    digits = {unicodedata.lookup(f"EXTENDED ARABIC-INDIC DIGIT {n}"): unicodedata.lookup(f"ARABIC-INDIC DIGIT {n}") for n in _SAME_DIGITS}
+    return out | {_arabic(a): _arabic(b) for a, b in _ARABIC.items()} | digits
+
+
+def _shapes() -> dict[str, str]:
+    """Characters that differ from others in width or joining shape only, or leave nothing on the page."""
+    out = {}
+    for c in map(chr, range(0x80, 0xFFFE)):
+        kind, name = unicodedata.category(c), unicodedata.name(c, "")
+        if kind == "Zs":
+            out[c] = " "
+        elif kind == "Cf" and not name.startswith(_VISIBLE_FORMATS):
+            out[c] = ""
+        elif name.startswith(("FULLWIDTH", "HALFWIDTH", "ARABIC TATWEEL WITH")) or (name.startswith("ARABIC") and name.endswith(_FORMS)):
+            plain = unicodedata.normalize("NFKC", c)
+            if plain != c and not 0xFDF0 <= ord(c) < 0xFE00:  # ligatures of whole words have a shape of their own
+                out[c] = plain.removeprefix(" ") if len(plain) > 1 else plain
+    return out
+
+
+def _among_words(c: str) -> str:
+    """What a character stands for among words."""
+    kind = unicodedata.category(c)
+    one = {_arabic(a): _arabic(b) for a, b in _ONE_AMONG_WORDS.items()}
+    if c in one or c in _twins():
+        return one.get(c) or _twins()[c].lower()
+    if unicodedata.name(c, "") == "ARABIC TATWEEL" or kind == "Cf":
+        return ""
+    if kind[0] in "LN":
+        return c.lower()
+    if kind == "Mn" and (0x600 <= ord(c) < 0x780 or 0x8A0 <= ord(c) < 0x900):
+        return ""
+    return c if kind[0] == "M" else " "
+
+
 def _look() -> str:
-    return f"look(a, b) as (values {_values(textforms._SAME_LOOK.items())})"
+    return f"look(a, b) as (values {_values(_shapes().items())})"
 
 
 def _fold() -> str:
     """What each assigned character stands for among words, where that isn't itself."""
     codes = [*range(1, 0xD800), *range(0xF900, 0xFFFE), *range(0x1F000, 0x1FB00)]
-    pairs = ((chr(c), textforms._FOLD[c]) for c in codes if unicodedata.category(chr(c)) not in ("Cn", "Co") and c != 0x20)
+    twins, one = _twins(), {_arabic(a) for a in _ONE_AMONG_WORDS}
+    letters = (c for c in map(chr, codes) if unicodedata.category(c) not in ("Cn", "Co", "Lo", "Ll") or c in twins or c in one)
+    pairs = ((c, _among_words(c)) for c in letters if c != " ")
     return f"fold(a, b) as (values {_values((a, b) for a, b in pairs if a != b)})"
 
 
@@ -99,9 +166,10 @@ select least(x, y) as uid_a, greatest(x, y) as uid_b from pairs where levenshtei
 
 
 def _same_look() -> str:
-    yeh = "regexp_replace(@, '" + textforms.FARSI_YEH + r"([\x{064b}-\x{065f}\x{0670}]*[\x{0620}-\x{064a}\x{066e}-\x{06d3}])', '" + textforms.YEH + r"\1', 'g')"
-    twins = textforms.LATIN_LOOKALIKES | textforms.ARABIC_LOOKALIKES | {textforms.FARSI_YEH: textforms.ALEF_MAKSURA}
-    skeleton = f"translate({yeh.replace('@', yeh.replace('@', 'p'))}, {_quoted(''.join(twins))}, {_quoted(''.join(twins.values()))})"
+    farsi, yeh, bare = _arabic("FARSI YEH"), _arabic("YEH"), _arabic("ALEF MAKSURA")
+    inside = "regexp_replace(@, '" + farsi + r"([\x{064b}-\x{065f}\x{0670}]*[\x{0620}-\x{064a}\x{066e}-\x{06d3}])', '" + yeh + r"\1', 'g')"
+    twins = _twins() | {farsi: bare}
+    skeleton = f"translate({inside.replace('@', inside.replace('@', 'p'))}, {_quoted(''.join(twins))}, {_quoted(''.join(twins.values()))})"
     return f"""
 with {_look()}, cells as (
   select distinct 'transcript' as field, uid, transcript as t from segments where uid is not null and transcript != ''

@@ -24,6 +24,8 @@ LATIN_LOOKALIKES = dict(
 # Letters of other Arabic-script alphabets and digits that print as these.
 ARABIC_LOOKALIKES = dict(zip("کھہە۰۱۲۳۷۸۹", "كههه٠١٢٣٧٨٩", strict=True))
 FARSI_YEH, YEH, ALEF_MAKSURA = "ی", "ي", "ى"
+# Letters of the Persian and Urdu alphabets that look like no letter of Arabic.
+PERSIAN_ONLY = "پچژگٹڈڑںے"
 # Kinds of compatibility characters that differ from their plain form only in width or joining shape.
 SAME_LOOK_KINDS = ("<wide>", "<narrow>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
 # Letters folded together where words are compared.
@@ -44,6 +46,7 @@ def _same_look() -> dict[str, str]:
 _SAME_LOOK = _same_look()
 _UNUSUAL = re.compile("[" + "".join(f"\\U{ord(c):08x}" for c in _SAME_LOOK) + "]")
 _LOOKALIKE = re.compile("[" + "".join((*LATIN_LOOKALIKES, *ARABIC_LOOKALIKES, FARSI_YEH)) + "]")
+_PERSIAN_ONLY = re.compile(f"[{PERSIAN_ONLY}]")
 _MARKER = re.compile(r"\[[^\]]*\]|<[^>]*>")
 _YEH_INSIDE = re.compile(FARSI_YEH + r"(?=[\u064b-\u065f\u0670]*[\u0620-\u064a\u066e-\u06d3])")
 
@@ -71,27 +74,36 @@ def _arabic_fixed(token: str) -> str:
     return "".join(ARABIC_LOOKALIKES.get(c, c) for c in token)
 
 
-def repaired(token: str) -> str | None:
-    """The token in its dominant script, or None where it isn't of mixed script.
+def is_persian(text: str) -> bool:
+    """Whether ``text`` has a letter of the Persian or Urdu alphabet that Arabic has no twin for, so their other letters are at home in it."""
+    return _PERSIAN_ONLY.search(text) is not None
+
+
+def repaired(token: str, persian: bool = False) -> tuple[str, bool] | None:
+    """A token's form in its dominant script, and whether it is of mixed script; None where nothing is foreign.
 
     The dominant script is the one with most letters among those that print in no other
-    script; with no such letter, Latin. Persian letters and digits in an Arabic token
-    count as foreign, for the corpus spells them with the Arabic ones.
+    script. Persian letters and digits in an Arabic token count as foreign, for the corpus
+    spells them with the Arabic ones; in a ``persian`` text they are at home. A token that
+    consists of look-alikes alone is a word of one script: its twin is given, marked as not mixed.
     """
-    latin = arabic = 0
+    latin = arabic = other = western = eastern = 0
     for c in token:
-        if c in LATIN_LOOKALIKES or c in ARABIC_LOOKALIKES or c == FARSI_YEH:
-            continue
-        if c.isascii():
+        if c in LATIN_LOOKALIKES:
+            western += 1
+        elif c in ARABIC_LOOKALIKES or c == FARSI_YEH:
+            eastern += 1
+        elif c.isascii():
             latin += c.isalpha()
         elif 0x600 <= ord(c) < 0x700:
-            arabic += c.isalpha()
-        elif c.isalpha():
-            latin -= 1  # a letter of a third script speaks against Latin
-    fixed = _arabic_fixed(token) if any(c in ARABIC_LOOKALIKES or c == FARSI_YEH for c in token) else token
-    if latin >= 0 and latin >= arabic:
-        fixed = "".join(LATIN_LOOKALIKES.get(c, c) for c in fixed)
-    return fixed if fixed != token else None
+            arabic += c.isalnum()
+        else:
+            other += c.isalpha()
+    if western and not eastern and not arabic and (latin > other or not latin + other):
+        return "".join(LATIN_LOOKALIKES.get(c, c) for c in token), latin > 0
+    if eastern and not western and not latin and not other:
+        return _arabic_fixed(token), arabic > 0 and not persian
+    return None
 
 
 class _WordFold(dict):

@@ -2,7 +2,8 @@
 
 import pytest
 
-from corpusflow.llm.textforms import has_lookalike, plain_form, repaired, words
+from corpusflow.llm import sql, textforms
+from corpusflow.llm.textforms import has_lookalike, is_persian, plain_form, repaired, words
 
 
 @pytest.mark.parametrize(
@@ -19,13 +20,27 @@ def test_visible_differences(a, b):
 
 
 def test_repair():
-    assert repaired("соffее") == "coffee"
-    assert repaired("coffee") is None and repaired("пишу") is None
-    assert repaired("ولیک") == "وليك" and repaired("حتی") == "حتى" and repaired("وليك") is None
-    assert repaired("مدرسە") == "مدرسه" and repaired("۲۰") == "٢٠"
+    assert repaired("соffее") == ("coffee", True) and repaired("fіlе") == ("file", True)
+    assert repaired("coffee") is None and repaired("пишу") is None and repaired("пор") is None
+    assert repaired("ولیک") == ("وليك", True) and repaired("حتی") == ("حتى", True) and repaired("وليك") is None
+    assert repaired("مدرسە") == ("مدرسه", True) and repaired("۲٤") == ("٢٤", True)
+    assert repaired("ولیک", persian=True) == ("وليك", False) and is_persian("چ") and not is_persian("ولیک")
     assert has_lookalike("соffее") and not has_lookalike("coffee وليك")
 
 
+def test_words_of_one_script_are_no_repair():
+    assert repaired("сор") == ("cop", False) and repaired("ТОР") == ("TOP", False)
+    assert repaired("کی") == ("كى", False) and repaired("۲۰") == ("٢٠", False)
+
+
+def test_tables_agree_with_the_twins_tables():
+    assert {c: to for c, to in textforms._SAME_LOOK.items() if textforms.unicodedata.category(c) != "Cn"} == sql._shapes()
+    assert textforms.LATIN_LOOKALIKES | textforms.ARABIC_LOOKALIKES == sql._twins()
+    for c in map(chr, [*range(1, 0xD800), *range(0xF900, 0xFFFE)]):
+        if c not in textforms._SAME_LOOK and textforms.unicodedata.category(c) not in ("Cn", "Co"):
+            assert textforms._FOLD[ord(c)] == (" " if c == " " else sql._among_words(c)), hex(ord(c))
+
+
 def test_words():
     assert words("[laugh] قال: «مدرسةٌ» ﻟﻴﺶ؟ <noise x> ＯＫ-fine أولئك") == ["قال", "مدرسه", "ليش", "ok", "fine", "اوليك"]
     assert words("") == [] and words("[a] <b> …") == []

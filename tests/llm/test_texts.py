@@ -105,8 +105,21 @@ def test_same_looking_pairs(spark):
 
 
 def test_unknown_result_is_left_alone(spark):
-    out = lookalike.unified_texts(segments(spark, [("u1", "zzоzz", None, None, None)]), "uid", ["transcript"]).first()
-    assert out["unified"] == "zzоzz"
+    rows = [("u1", "zzоzz", None, None, None), ("u2", "zzоzz", None, None, None), ("u3", "zzoоz", None, None, None)]
+    assert {r["unified"] for r in lookalike.unified_texts(segments(spark, rows), "uid", ["transcript"]).collect()} == {"zzоzz", "zzoоz"}
+
+
+def test_words_of_one_script_stay(spark):
+    texts = ["cop", "TOP", "كى", "сор", "ТОР", "کی", "СОР", "cор", "چای کی", "چای كى"]
+    rows = [(f"u{i}", t, None, None, None) for i, t in enumerate(texts)]
+    out = {r["uid"]: r for r in lookalike.unified_texts(segments(spark, rows), "uid", ["transcript"]).collect()}
+    assert [out[f"u{i}"]["unified"] for i in range(len(texts))] == [*texts[:7], "cop", *texts[8:]]
+    # On the page they are the same: only the key says so, and only where the twin is known.
+    looks = [out[f"u{i}"]["key"] for i in range(len(texts))]
+    assert looks[0] == looks[3] == looks[7] and looks[1] == looks[4] and looks[2] == looks[5] and looks[8] == looks[9] and len(set(looks)) == 5
+    members = lookalike.same_looking_classes(segments(spark, rows), "uid", ["transcript"])
+    links = {r["uid"]: (r["n_forms"], r["n_links"]) for r in lookalike.class_links(members).collect()}
+    assert links == {"u0": (3, 2), "u3": (3, 2), "u7": (3, 2), "u1": (2, 1), "u4": (2, 1), "u2": (2, 1), "u5": (2, 1), "u8": (2, 1), "u9": (2, 1)}
 
 
 DOCS = "doc_id bigint, text string, source string, item_id string, n_words int, token string"
