@@ -51,6 +51,11 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlap_report(_table(spark, folder, "segments"))
 
 
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Records with a partner across splits: their class and their number of links."""
+    return overlap.linked_records(_table(spark, folder, "segments"))
+
+
 _TEXT_FIELDS = ["transcript", "normalized_transcript"]
 
 

@@ -196,6 +196,15 @@ def oracle_sql() -> dict[str, str]:
         + """select source, score_field, c.target_fraction, n_scored, cutoff, count(*) as n_kept, count(*) / n_scored as kept_fraction
 from scored join cutoffs c using (source, score_field) where score >= cutoff group by 1, 2, 3, 4, 5""",
         "p4_found": _overlaps(),
+        "p4_report": f"""
+with found as ({_overlaps()}), parts as (
+  select uid, any_value({_SPLIT}) as split, any_value({_SOURCE}) as source, any_value(transcript) as t from segments where uid is not null group by uid
+), sided as (
+  select h.uid, h.split, h.source, h.t, o.t as o from found join parts h on h.uid in (uid_a, uid_b) and h.split != 'train'
+  join parts o on o.uid = case when h.uid = uid_a then uid_b else uid_a end
+), {_words('select transcript as t from segments').replace('worded as', 'worded2 as')}
+select split, source, count(distinct uid) as n_records, count(*) as n_pairs, count_if(a.ws = b.ws)::bigint as n_same
+from sided join worded2 a on sided.t = a.t join worded2 b on sided.o = b.t group by all""",
         "p5_found": _same_look(),
         "p6_found": _leaks(),
         "p6_clean": f"select doc_id, source, n_chars from documents where doc_id not in (select doc_id from ({_leaks()}))",

@@ -1,6 +1,7 @@
 """Overlaps, look-alikes, leaks and cut texts against plain versions."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,17 +63,46 @@ def test_overlap_pairs(spark):
     found = overlap.cross_split_pairs(segments(spark, rows)).collect()
     assert len(found) == len({(r["train_uid"], r["eval_uid"]) for r in found})
     assert {(r["train_uid"], r["eval_uid"]): r["distance"] for r in found} == expected
-    report = overlap.overlap_report(segments(spark, rows))
-    assert report.agg(F.sum("n_pairs")).first()[0] == len(expected)
+    report = overlap.overlap_report(segments(spark, rows)).agg(F.sum("n_pairs"), F.sum("n_same"), F.sum("n_records")).first()
+    assert tuple(report) == (len(expected), sum(d == 0 for d in expected.values()), len({b for _, b in expected}))
+    links = {r["uid"]: r["n_links"] for r in overlap.linked_records(segments(spark, rows)).collect()}
+    assert links == Counter(u for pair in expected for u in pair)
     assert overlap.cross_split_pairs(segments(spark, [])).count() == 0
 
 
 def test_bands_cover_the_limit():
     for n in (8, 13, 14, 20, 27, 40, 200):
         k = overlap.edits_allowed(n)
-        for other in (n, n - k):
-            bands = min(overlap.bands_needed(n), overlap.bands_needed(other))
-            assert (1 - ((n - k) / (n + k)) ** overlap.ROWS) ** bands <= overlap.MISS
+        for rows in (2, 3, 4):
+            for other in (n, n - k):
+                bands = min(overlap.bands_needed(n, rows), overlap.bands_needed(other, rows))
+                assert (1 - overlap.least_similarity(n) ** rows) ** bands <= overlap.MISS
+
+
+def test_edits_spare_as_many_word_pairs_as_promised():
+    rng = random.Random(12)
+    for _ in range(400):
+        a = [rng.choice("abcdefgh") for _ in range(rng.randint(8, 40))]
+        b = changed(rng, " ".join(a), rng.randint(0, overlap.edits_allowed(len(a)))).split()
+        n = max(len(a), len(b))
+        if edit(a, b) <= overlap.edits_allowed(n) and len(b) > 1:
+            x, y = (Counter(zip(t, t[1:], strict=False)) for t in (a, b))
+            assert sum((x & y).values()) >= overlap.least_similarity(n) * sum((x | y).values()) - 1e-9
+
+
+def test_values_in_a_band_grow_with_the_texts():
+    assert [overlap.rows_needed(n) for n in (0, 30_000, 400_000, 3_000_000, 10**8, 10**10)] == [2, 2, 2, 3, 4, 4]
+
+
+def test_hot_buckets_are_parted(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "HOT_BUCKET", 3)
+    rng = random.Random(17)
+    frame = " ".join(f"h{i}" for i in range(9))
+    rows = [(f"u{i:03d}", f"{frame} " + " ".join(f"w{rng.randint(0, 5)}" for _ in range(rng.randint(1, 5))), None, rng.choice(["train", "train", "test"]), "a") for i in range(150)]
+    known = {r[0]: (words(r[1]), r[3]) for r in rows}
+    expected = {(a, b) for a, (x, s) in known.items() for b, (y, t) in known.items() if s == "train" and t == "test" and edit(x, y) * 100 <= 15 * max(len(x), len(y))}
+    found = [(r["train_uid"], r["eval_uid"]) for r in overlap.cross_split_pairs(segments(spark, rows)).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected and len(expected) > 300
 
 
 def test_one_text_held_by_a_third(spark):
