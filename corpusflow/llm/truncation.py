@@ -26,11 +26,13 @@ from corpusflow.sizing import lookup, saved
 #: A token is unknown when words it begins are at least this many times as frequent as itself.
 RARER = 80
 #: Letters that spread the vocabulary, and salts that part the words of one beginning.
-HEAD, WORD_SALTS = 3, 4
+HEAD, WORD_SALTS = 3, 8
 #: Neighbouring lengths compared with a length; texts it needs; times the neighbours' mean; share that ends like cut ones.
 NEIGHBOURS, PILE, PILE_TIMES, PILE_CUT = 50, 3, 8, 0.25
-#: Share of a source's closed texts whose last sentence may be as short as a rest; texts needed to tell.
-SHORT_SHARE, CLOSED = 0.002, 50
+#: Share of a source's closed texts whose last sentence may be as short as a rest.
+SHORT_SHARE = 0.002
+#: Different texts of the corpus that a last line ends, from which on it is a formula that closes a text, like a signature.
+FORMULA = 3
 #: Lengths this little under a limit count where the text also ends like a cut one.
 SLACK = 3
 #: Distinct words a task holds before it passes them on.
@@ -39,17 +41,16 @@ VOCABULARY_FLUSH = 300_000
 PAIRS = {"(": ")", "«": "»", "[": "]", "“": "”", "{": "}"}
 DOTS = ("...", "…")
 SENTENCE_MARKS = ".!?؟…\n"
-SIGNS = "#—–@"  # open a closing line: tags and signatures
 BROKEN = "�"
 
 _UNSEEN = "".join(map(chr, (*INVISIBLE, *BLANKS))) + " \t\r\n\v\f"
 _SCHEMA = pa.schema(
     [
         ("doc_id", pa.int64()), ("source", pa.string()), ("text_hash", pa.int64()), ("n_chars", pa.int64()), ("n_bytes", pa.int64()), ("token", pa.string()),
-        ("dotted", pa.bool_()), ("broken", pa.bool_()), ("open_pair", pa.bool_()), ("rest", pa.int64()), ("closed", pa.bool_()), ("word", pa.string()), ("n", pa.int64()),
+        ("dotted", pa.bool_()), ("broken", pa.bool_()), ("open_pair", pa.bool_()), ("rest", pa.int64()), ("closed", pa.bool_()), ("last_line", pa.int64()), ("word", pa.string()), ("n", pa.int64()),
     ]
 )
-_DDL = "doc_id bigint, source string, text_hash bigint, n_chars bigint, n_bytes bigint, token string, dotted boolean, broken boolean, open_pair boolean, rest bigint, closed boolean, word string, n bigint"
+_DDL = "doc_id bigint, source string, text_hash bigint, n_chars bigint, n_bytes bigint, token string, dotted boolean, broken boolean, open_pair boolean, rest bigint, closed boolean, last_line bigint, word string, n bigint"
 
 
 def _is_letter(c: str) -> bool:
@@ -66,20 +67,19 @@ def _ending(text: str) -> tuple[str, bool, bool]:
     return seen, False, bool(seen) and _is_letter(seen[-1])
 
 
-def _closing_line(seen: str) -> bool:
-    """Whether the last line is a tag or signature, so the text came to its end."""
-    return seen.rpartition("\n")[2].lstrip(_UNSEEN)[:1] in (*SIGNS,)
-
-
 def _rest(seen: str) -> tuple[int, bool]:
-    """Words of the last sentence or line, and whether a sentence mark closes it; a closing line counts whole, with what it closes."""
+    """Words of the last sentence or line, and whether a sentence mark closes it."""
     body = seen.rstrip(SENTENCE_MARKS)
-    if _closing_line(body):
-        return len(words(body)), False
     at = max(body.rfind(mark) for mark in SENTENCE_MARKS)
     return len(words(body[at + 1 :])), len(body) < len(seen)
 
 
+def _last_line(seen: str) -> int | None:
+    """What stands for the last of several lines, whatever follows its last visible character."""
+    head, _, line = seen.rpartition("\n")
+    return xxhash.xxh3_64_intdigest(line.strip(_UNSEEN)) >> 1 if head else None
+
+
 def _stopped(body: str) -> bool:
     """Whether a sentence mark, closing sign or symbol ends the text, so an open pair before it shows no cut."""
     return not body or body[-1] in SENTENCE_MARKS + '"' or unicodedata.category(body[-1]) in ("Pe", "Pf", "So")
@@ -109,7 +109,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append(
                 (
                     *(xxhash.xxh3_64_intdigest(text) >> 1, len(text), len(text.rstrip(BROKEN).encode()), token, dotted, body.endswith(BROKEN)),
-                    *(not dotted and not _stopped(body) and not _closing_line(body) and _left_open(body), *_rest(text.rstrip(_UNSEEN))),
+                    *(not dotted and not _stopped(body) and _left_open(body), *_rest(text.rstrip(_UNSEEN)), _last_line(text.rstrip(_UNSEEN))),
                 )
             )
         columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(list(_SCHEMA)[2:-2])]
@@ -181,17 +181,22 @@ def find_limits(lengths: DataFrame) -> DataFrame:
     return lengths.withColumn("piled", piled).filter("piled").select("source", "measure", F.col("length").alias("limit"))
 
 
+def closing_formulas(ends: DataFrame) -> DataFrame:
+    """``last_line`` of lines that end ``FORMULA`` or more different texts, such as tags and signatures: those texts came to their end."""
+    several = ends.filter("last_line is not null").groupBy("last_line", "text_hash").agg(F.lit(1).alias("one"))
+    return several.groupBy("last_line").agg(F.count("*").alias("n")).filter(F.col("n") >= FORMULA).select("last_line")
+
+
 def short_rests(ends: DataFrame) -> DataFrame:
     """``source, longest_rest``: so few words almost no closed text of the source ends its last sentence with.
 
-    Lengths that no closed text has count as well. Dots may stand for a rest, so they close no text here.
+    Lengths that no closed text has count as well. Dots may stand for a rest, so they close
+    no text here. A source without a closed text has no such length.
     """
     sizes = ends.filter("closed and not dotted").groupBy("source", "rest").agg(F.count("*").alias("n"))
     upward = Window.partitionBy("source").orderBy("rest")
     share = F.sum("n").over(upward) / F.sum("n").over(Window.partitionBy("source"))
-    enough = F.sum("n").over(Window.partitionBy("source")) >= CLOSED
-    common = sizes.select("source", "rest", share.alias("share"), enough.alias("enough")).filter(F.col("enough") & (F.col("share") > SHORT_SHARE))
-    return common.groupBy("source").agg((F.min("rest") - 1).alias("longest_rest"))
+    return sizes.withColumn("share", share).filter(F.col("share") > SHORT_SHARE).groupBy("source").agg((F.min("rest") - 1).alias("longest_rest"))
 
 
 def truncated_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -224,7 +229,9 @@ def truncated_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     exact = F.coalesce("chars_exact", F.lit(False)) | F.coalesce("bytes_exact", F.lit(False))
     judged = judged.withColumn("at_limit", exact | (near & (F.col("dotted") | F.col("prefix"))))
     judged = lookup(judged, saved(short_rests(ends)), ["source"], "left")
-    judged = judged.withColumn("short_rest", F.coalesce(F.col("token").isNotNull() & ~F.col("dotted") & ~F.col("closed") & (F.col("rest") <= F.col("longest_rest")), F.lit(False)))
+    judged = lookup(judged, saved(closing_formulas(ends)).withColumn("formula", F.lit(True)), ["last_line"], "left").withColumn("formula", F.coalesce("formula", F.lit(False)))
+    short = F.col("token").isNotNull() & ~F.col("dotted") & ~F.col("closed") & ~F.col("formula") & (F.col("rest") <= F.col("longest_rest"))
+    judged = judged.withColumns({"short_rest": F.coalesce(short, F.lit(False)), "open_pair": F.col("open_pair") & ~F.col("formula")})
     judged = judged.withColumn("cut_word", F.col("prefix") & ~F.col("dotted"))
     judged = judged.withColumn("cut", F.col("cut_word") | F.col("at_limit") | F.col("open_pair") | F.col("broken") | F.col("short_rest"))
     cut = judged.filter("cut").select("doc_id", F.nullif("source", F.lit("")).alias("source"), F.col("token").alias("last_token"), "cut_word", "at_limit", "open_pair", "broken", "short_rest")

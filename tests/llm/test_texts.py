@@ -218,7 +218,7 @@ def test_cut_texts(spark):
     for i in range(6):
         word = next(w for w in lexicon if len(w) > 5 and w[:5] not in lexicon)
         cut.append((3000 + i, f"{long(12)} {word[:5]}", "other"))
-    opened = [(4000, long(12) + " (" + long(3), "s"), (4001, long(12) + " (" + long(3) + ").", "s"), (4002, long(9) + " �", "s"), (4003, long(9) + ".\n#tag", "s")]
+    opened = [(4000, long(12) + " (" + long(3), "s"), (4001, long(12) + " (" + long(3) + ").", "s"), (4002, long(9) + " �", "s"), *((4003 + i, long(9) + ".\n#tag", "s") for i in range(3))]
     odd = [(5000, None, "s"), (5001, "", "s"), (None, "x", "s"), (5002, " ", None), (5003, ("word " * 200_000) + "end.", None)]
     df = documents(spark, rows + whole + limited + cut + opened + odd)
     found, report = truncation.truncated_documents(df)
@@ -226,7 +226,7 @@ def test_cut_texts(spark):
     assert set(got) == {d for d, *_ in limited + cut} | {4000, 4002}
     assert all(got[d]["at_limit"] for d, *_ in limited) and all(got[d]["cut_word"] for d, *_ in cut)
     counts = {r["source"]: (r["n_documents"], r["n_cut"]) for r in report.collect()}
-    assert counts["other"] == (6, 6) and counts[None] == (2, 0) and counts["s"] == (234, 27)
+    assert counts["other"] == (6, 6) and counts[None] == (2, 0) and counts["s"] == (236, 27)
     assert truncation.truncated_documents(df.limit(0))[0].count() == 0
 
 
@@ -237,11 +237,39 @@ def test_rests_shorter_than_any_closed(spark):
     dotted = [(1000 + i, f"{some(i, 9)}. {some(i, 1)}...", "s") for i in range(9)]
     few = [(2000 + i, f"{some(i, 9)}. {some(i, 5)}.", "few") for i in range(9)]
     cut = [(3000, f"{some(0, 9)}. {some(1, 1)}", "S"), (3001, f"{some(1, 12)}. {some(2, 2)}", "s")]
-    whole = [(4000, f"{some(2, 15)}. {some(3, 3)}", "s"), (4001, f"{some(3, 9)}. {some(4, 2)}", "few"), (4002, f"{some(4, 18)}. {some(5, 2)}...", "s")]
-    found, _ = truncation.truncated_documents(documents(spark, closed + dotted + few + cut + whole))
+    cut += [(3002, f"{some(3, 9)}. {some(4, 2)}", "few"), (3003, f"{some(5, 9)}.\n{some(2, 1)}", "s")]
+    signed = [(5000 + i, f"{some(i, 9)}.\nbaker desk", "s") for i in range(4)] + [(5004, f"{some(6, 9)}. (pilgrim.\n baker desk ", "s")]
+    whole = [(4000, f"{some(2, 15)}. {some(3, 3)}", "s"), (4001, f"{some(3, 9)}. {some(4, 4)}", "none"), (4002, f"{some(4, 18)}. {some(5, 2)}...", "s")]
+    found, _ = truncation.truncated_documents(documents(spark, closed + dotted + few + cut + whole + signed))
     got = {r["doc_id"]: r["short_rest"] for r in found.collect()}
-    assert {d for d, short in got.items() if short} == {3000, 3001}
-    assert not set(got) & {d for d, *_ in closed + few + whole}
+    assert {d for d, short in got.items() if short} == {3000, 3001, 3002, 3003}
+    assert not set(got) & {d for d, *_ in closed + few + whole + signed}
+
+
+def test_planted_cuts_are_found(spark):
+    """Cuts at a limit and inside words among texts of several habits: nearly all are found, and hardly any whole text."""
+    rng = random.Random(33)
+    lexicon = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 5))) for _ in range(400)]
+    sentence = lambda: " ".join(rng.choice(lexicon) for _ in range(rng.randint(4, 14)))
+    rows, cut = [], set()
+    for i in range(1500):
+        source = rng.choice(["closes", "never closes", "limited"])
+        mark = "" if source == "never closes" else "."
+        text = (mark + " ").join(sentence() for _ in range(rng.randint(3, 12))) + mark
+        if source == "limited" and len(text) > 420:
+            text = text[:420]
+            cut.add(i)
+        elif rng.random() < 0.06:
+            at = rng.randrange(len(text) // 2, len(text) - 2)
+            while text[at - 1] in " ." or text[at] in " .":
+                at -= 1  # inside a word
+            text = text[:at]
+            cut.add(i)
+        elif rng.random() < 0.03:
+            text = text.rstrip(".")
+        rows.append((i, text, source))
+    found = {r["doc_id"] for r in truncation.truncated_documents(documents(spark, rows))[0].collect()}
+    assert len(found & cut) >= 0.95 * len(cut) and len(found & cut) >= 0.97 * len(found)
 
 
 def test_open_pairs_need_no_letter_at_the_end(spark):
