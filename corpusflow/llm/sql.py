@@ -187,6 +187,18 @@ with {_words('select text as t from documents union all select text from eval_it
 select distinct doc_id, item_id from of_documents join of_items using (run)"""
 
 
+def _matches() -> str:
+    """Longest runs: matching runs of eight words that follow each other on one diagonal are one."""
+    places = "unnest(range(1, len(ws) - 6)) as place"
+    run = "array_to_string(ws[place:place + 7], ' ') as run"
+    return f"""
+with {_words('select text as t from documents union all select text from eval_items')}, of_documents as (
+  select doc_id, place as d, {run} from (select doc_id, ws, {places} from documents join worded on text = t where doc_id is not null and len(ws) >= 8)
+), of_items as (select item_id, place as i, {run} from (select item_id, ws, {places} from eval_items join worded on text = t where item_id is not null and len(ws) >= 8)
+), met as (select doc_id, item_id, d, i, d - row_number() over (partition by doc_id, item_id, d - i order by d) as island from of_documents join of_items using (run))
+select doc_id, item_id, min(d) - 1 as doc_word, min(i) - 1 as item_word, count(*) + 7 as n_words from met group by doc_id, item_id, d - i, island"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
     return {
@@ -207,5 +219,6 @@ select split, source, count(distinct uid) as n_records, count(*) as n_pairs, cou
 from sided join worded2 a on sided.t = a.t join worded2 b on sided.o = b.t group by all""",
         "p5_found": _same_look(),
         "p6_found": _leaks(),
+        "p6_matches": _matches(),
         "p6_clean": f"select doc_id, source, n_chars from documents where doc_id not in (select doc_id from ({_leaks()}))",
     }
