@@ -15,6 +15,7 @@ TATWEEL = "ـ"
 ALEF_FORMS = "أإآٱ"
 LATIN = "[A-Za-z]"
 DIGITS = "[0-9٠-٩۰-۹]"
+# A filled bracket marker, and a Latin token with inner hyphens and apostrophes.
 BRACKET_TOKEN = r"(\[[^\]]+\]|<[^>]+>)"
 ENGLISH_TOKEN = r"[A-Za-z]+(?:[-'][A-Za-z]+)*"
 # Placeholder words of the annotators, in their spellings.

@@ -28,7 +28,7 @@ from corpusflow.functions.chars import (
 )
 
 # Letters that the segmenter's form folds, marks it reads as blanks, and the tatweel it drops.
-SEGMENTER_FROM, SEGMENTER_TO = "أإآٱىؤئة", "ااااي" + "ويه"
+SEGMENTER_FROM, SEGMENTER_TO = "أإآٱىؤئة", "اااايويه"
 MARKS_AS_BLANKS = "﻿‏‎"
 # Tokens that take no blank before or after them.
 NO_SPACE_BEFORE, NO_SPACE_AFTER = "،؛:,.!?؟)]}»", "([{'\"«"

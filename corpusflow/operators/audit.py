@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusflow.functions.text import changed_v3, collapsed, english_tokens, has_digit, has_latin, without_spans
+from corpusflow.sizing import prefix_totals
 
 
 def token_audit(df: DataFrame, fields: Sequence[str], shard: str) -> DataFrame:
@@ -26,6 +27,12 @@ def token_audit(df: DataFrame, fields: Sequence[str], shard: str) -> DataFrame:
     return out.select(level.alias("level"), "field", "shard", "token", "n")
 
 
+def tokens_in_order(audit: DataFrame) -> DataFrame:
+    """``token, n, place``: the tokens counted over all, in the order of their code points, without one sort task for all."""
+    overall = audit.filter("level = 'all'").select("token", "n", F.substring("token", 1, 2).alias("_head"), F.lit(1).alias("_one"))
+    return prefix_totals(overall, [], "_head", [F.col("token")], "_one", "place").select("token", "n", "place")
+
+
 def first_examples(df: DataFrame, group: str, order: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each group, with their ``place`` from 1."""
     return df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("place") <= n)
@@ -39,8 +46,7 @@ def merged_roots(roots: dict[str, DataFrame], file: str) -> DataFrame:
         out = out.unionByName(t, allowMissingColumns=True)
     clash = out.groupBy(file).agg(F.count_distinct("root").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"))
     # The assertion stands in a filter, for an unused column would be pruned with it.
-    checked = clash.filter(F.assert_true(F.col("most") <= 1, F.lit("a file is in two roots")).isNull()).select()
-    return out.crossJoin(F.broadcast(checked))
+    return out.filter(F.assert_true(clash.scalar() <= 1, F.lit("a file is in two roots")).isNull())
 
 
 def recovered(dropped: DataFrame, text: str) -> DataFrame:
@@ -58,8 +64,8 @@ def replaced_subset(table: DataFrame, subset: Column, *parts: DataFrame, expecte
         new = new.unionByName(p, allowMissingColumns=True)
     kept = table.filter(~F.coalesce(subset, F.lit(False)))
     if expected is not None:
-        right = F.assert_true(F.col("n") == expected, F.lit("the parts have another number of rows"))
-        new = new.crossJoin(F.broadcast(new.agg(F.count("*").alias("n")).filter(right.isNull()).select()))
+        right = F.assert_true(new.agg(F.count("*").alias("n")).scalar() == expected, F.lit("the parts have another number of rows"))
+        kept, new = kept.filter(right.isNull()), new.filter(right.isNull())
     return kept.unionByName(new, allowMissingColumns=True)
 
 

@@ -46,7 +46,7 @@ def drop_reason(drop_missing_duration: bool = False) -> Column:
 
 
 def report(flagged_rows: DataFrame, dataset: str) -> DataFrame:
-    """Counters per dataset and, where ``is_total``, over all rows, in one pass."""
+    """Counters per dataset and, where ``is_total``, over all rows, in one pass, each with its percent of the rows."""
 
     def n(condition: Column) -> Column:
         return F.count_if(condition)
@@ -63,12 +63,16 @@ def report(flagged_rows: DataFrame, dataset: str) -> DataFrame:
         n(F.col("flag_missing_duration")).alias("flag_no_duration"),
         *(n(reason == r).alias(f"dropped_{r}") for r in REASONS[:3]),
     )
-    return counted.withColumn("kept_percent", F.when(F.col("total") > 0, F.col("kept") / F.col("total") * 100.0).otherwise(0.0))
+    counted = counted.withColumn("dropped_total", F.col("total") - F.col("kept"))
+    parts = [c for c in counted.columns if c not in ("dataset", "is_total", "total")]
+    return counted.withColumns({f"{c}_percent": F.when(F.col("total") > 0, F.col(c) / F.col("total") * 100.0).otherwise(0.0) for c in parts})
 
 
 def per_shard(flagged_rows: DataFrame, shard: str) -> DataFrame:
-    """Rows and reasons of each shard."""
-    return flagged_rows.groupBy(F.col(shard).alias("shard"), F.coalesce("drop_reason", F.lit("clean")).alias("disposition")).agg(F.count("*").alias("n_rows"))
+    """Rows of each shard and disposition, and how many of them bear each flag."""
+    flags = [c for c in flagged_rows.columns if c.startswith("flag_")]
+    grouped = flagged_rows.groupBy(F.col(shard).alias("shard"), F.coalesce("drop_reason", F.lit("clean")).alias("disposition"))
+    return grouped.agg(F.count("*").alias("n_rows"), *(F.count_if(F.col(c)).alias(f"n_{c}") for c in flags))
 
 
 def skip_reason(text: Column, too_short: Column, no_duration: Column, seconds: Column, min_seconds: float) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from corpusflow.functions.reading import source_name
 from corpusflow.functions.text import collapsed
+from corpusflow.sizing import lookup
 
 #: Text and duration columns that shards are known to use, in order of preference.
 TEXT_CANDIDATES = ("transcript", "normalized_transcript", "raw_text", "transcription", "sentence", "text")
@@ -85,8 +86,8 @@ def stable_file_id(path: Column) -> Column:
 
 
 def safe_name(col: Column) -> Column:
-    """A name that is safe in a file system."""
-    return F.translate(col, "/\\: ", "____")
+    """A name that is safe in a file system: two underscores for a slash of either kind, one for a blank or colon."""
+    return F.replace(F.replace(F.translate(col, ": ", "__"), F.lit("/"), F.lit("__")), F.lit("\\"), F.lit("__"))
 
 
 def absolute_path(path: Column, base: str) -> Column:
@@ -99,6 +100,24 @@ def preview(text: Column, length: int = 220) -> Column:
     return F.substring(text, 1, length)
 
 
+def audio_candidates(text_path: Column, suffix: str = "_Arabic_transcription.txt", extensions: Sequence[str] = (".WAV", ".wav")) -> Column:
+    """Where the audio of a transcript may lie, best first: its path without ``./`` and ``suffix``, and with each extension for its own."""
+    bare = F.regexp_replace(F.replace(F.replace(text_path, F.lit("./"), F.lit("")), F.lit(suffix), F.lit("")), r"(?<=[^/])\.[^./]+$", "")
+    return F.array(*(F.concat(bare, F.lit(x)) for x in extensions))
+
+
+def with_audio(records: DataFrame, text_path: str, files: DataFrame, path: str) -> DataFrame:
+    """``records`` with ``audio_path``, the first candidate among ``files``; a record without one raises an error when the plan runs.
+
+    Null paths have no audio and raise as well. ``files`` are joined by broadcast only where they are few.
+    """
+    named = files.select(F.col(path).alias("_path")).distinct()
+    offers = records.select(text_path).distinct().select(text_path, F.posexplode(audio_candidates(F.col(text_path))).alias("_place", "_path"))
+    found = lookup(offers, named, ["_path"]).groupBy(text_path).agg(F.min_by("_path", "_place").alias("audio_path"))
+    none = F.raise_error(F.concat(F.lit("no audio file for "), F.coalesce(F.col(text_path), F.lit("a null path")))).cast("string")
+    return lookup(records, found, [text_path], "left").withColumn("audio_path", F.coalesce("audio_path", none))
+
+
 def holds_part(path: Column, part: str) -> Column:
     """Whether a directory or file of the path has that name, in any case."""
     return F.exists(F.split(path, "/"), lambda x: F.lower(x) == part.lower())

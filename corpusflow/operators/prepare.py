@@ -8,22 +8,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.operators.scoring import last_of_key
+from corpusflow.sizing import lookup
 
-#: Model families by what they take; a name outside the registry is an error.
-FAMILIES = ("seq2seq", "chat", "ctc")
+# The models that are known, by family.
+MODELS = {
+    "whisper": ("openai/whisper-medium", "openai/whisper-large-v3"),
+    "qwen": ("Qwen/Qwen3-ASR-0.6B", "Qwen/Qwen3-ASR-1.7B"),
+    "omni": ("Omni ASR 300M", "Omni ASR 1B"),
+}
+# Columns of a manifest row.
+MANIFEST_COLUMNS = ("uid", "audio_path", "text", "duration", "sample_rate", "source")
 
 
-def family_of(name: str, registry: Mapping[str, str]) -> str:
-    """The family of a model name, without case and blanks."""
-    key = name.strip().lower()
-    if key not in registry:
-        raise ValueError(f"unknown model {name!r}; known: {sorted(registry)}")
-    return registry[key]
+def family_of(name: Column, models: Mapping[str, Sequence[str]] = MODELS) -> Column:
+    """The family of a model name, spelled exactly; an unknown or null name raises an error when the plan runs."""
+    known = sorted(m for names in models.values() for m in names)
+    out = F.when(F.lit(False), F.lit(""))
+    for family, names in models.items():
+        out = out.when(name.isin(*names), F.lit(family))
+    return out.otherwise(F.raise_error(F.concat(F.lit("unknown model "), F.coalesce(name, F.lit("null")), F.lit("; known: " + ", ".join(known)))).cast("string"))
 
 
 def for_seq2seq(df: DataFrame, audio: str, text: str, duration: str, max_seconds: float = 30.0) -> DataFrame:
-    """Rows up to the longest audio, with input path, labels and task."""
-    return df.filter(~(F.col(duration) > max_seconds)).withColumns({"architecture": F.lit("seq2seq"), "input_audio_path": F.col(audio), "labels_text": F.col(text), "task": F.lit("transcribe")})
+    """Rows up to the longest audio, with input path, labels and task; a row of unknown length stays, NaN counts as too long."""
+    return df.filter(F.coalesce(F.col(duration) <= max_seconds, F.lit(True))).withColumns({"architecture": F.lit("seq2seq"), "input_audio_path": F.col(audio), "labels_text": F.col(text), "task": F.lit("transcribe")})
 
 
 def for_chat(df: DataFrame, audio: str, text: str, system: str, user: str) -> DataFrame:
@@ -47,17 +55,33 @@ def normalized_predictions(raw: DataFrame, source: DataFrame, constants: Mapping
     """Predictions with the source's text where they lack a reference, and the run's constants; of repeated source keys the last counts."""
     known = last_of_key(source.select(key, F.col("text").alias("_text"), "row_index"), [key], [F.desc("row_index")]).select(key, "_text")
     reference = F.coalesce("reference", "_text", F.lit("")) if "reference" in raw.columns else F.coalesce("_text", F.lit(""))
-    joined = raw.join(known, key, "left").withColumn("reference", reference).withColumn("prediction", F.coalesce("prediction", F.lit("")))
+    joined = lookup(raw, known, [key], "left").withColumn("reference", reference).withColumn("prediction", F.coalesce("prediction", F.lit("")))
     return joined.select(key, "reference", "prediction", *(F.lit(v).alias(k) for k, v in constants.items()))
 
 
-def manifest_faults(df: DataFrame, required: Sequence[str], duration: str, rate: str) -> DataFrame:
-    """One row: rows, rows lacking a required value, rows without positive duration, rows without positive rate."""
-    lacking = F.lit(False)
-    for c in required:
-        lacking = lacking | F.col(c).isNull()
-    bad = lambda c: ~F.coalesce((F.col(c) > 0) & ~F.isnan(F.col(c).cast("double")), F.lit(False))
-    return df.agg(F.count("*").alias("n_rows"), F.count_if(lacking).alias("n_lacking"), F.count_if(bad(duration)).alias("n_bad_duration"), F.count_if(bad(rate)).alias("n_bad_rate"))
+def manifest_faults(df: DataFrame, files: DataFrame, path: str, base: str = "") -> DataFrame:
+    """One row with the faults of a split's manifest, all zero where it keeps the contract.
+
+    ``n_rows, is_empty, missing_columns, n_lacking`` (rows without a required value),
+    ``n_no_file`` (audio that isn't among ``files``; a relative path lies below ``base``),
+    ``n_bad_duration, n_bad_rate`` (neither missing nor above 0).
+    """
+    have = [c for c in MANIFEST_COLUMNS if c in df.columns]
+    rows = df.select(*have, *(F.lit(None).cast("string").alias(c) for c in MANIFEST_COLUMNS if c not in have))
+    place = F.when(F.col("audio_path").startswith("/") | (F.lit(base) == ""), F.col("audio_path")).otherwise(F.concat(F.lit(base + "/"), "audio_path"))
+    there = files.select(F.col(path).alias("_path")).distinct().withColumn("_there", F.lit(True))
+    rows = lookup(rows.withColumn("_path", place), there, ["_path"], "left")
+    lacking = F.exists(F.array(*(F.col(c).isNull() for c in MANIFEST_COLUMNS)), lambda x: x)
+    bad = lambda c: F.coalesce(~(F.col(c).cast("double") > 0) | F.isnan(F.col(c).cast("double")), F.lit(False))
+    return rows.agg(
+        F.count("*").alias("n_rows"),
+        (F.count("*") == 0).alias("is_empty"),
+        F.lit(",".join(c for c in sorted(MANIFEST_COLUMNS) if c not in have)).alias("missing_columns"),
+        F.count_if(lacking).alias("n_lacking"),
+        F.count_if(F.col("audio_path").isNotNull() & F.col("_there").isNull()).alias("n_no_file"),
+        F.count_if(bad("duration")).alias("n_bad_duration"),
+        F.count_if(bad("sample_rate")).alias("n_bad_rate"),
+    )
 
 
 def collated(df: DataFrame, batch: Column, order: str, columns: Sequence[str]) -> DataFrame:

@@ -38,8 +38,8 @@ def score_of(scores: Column, key: str, primary: Column | None = None) -> Column:
 
 
 def percent(n: Column, of: Column) -> Column:
-    """``100 n / of``, 0 where nothing is counted."""
-    return F.when(of > 0, 100.0 * n / of).otherwise(0.0)
+    """``100 n / of`` to four places, 0 where nothing is counted."""
+    return F.when(of > 0, F.round(100.0 * n / of, 4)).otherwise(0.0)
 
 
 def label_shares(df: DataFrame, label: str, status: str, labels: Sequence[str]) -> DataFrame:
@@ -53,17 +53,44 @@ def label_shares(df: DataFrame, label: str, status: str, labels: Sequence[str])
     return listed.select("label", n.alias("n"), percent(n, F.coalesce("total", F.lit(0))).alias("percent"))
 
 
+def by_percent(shares: DataFrame) -> DataFrame:
+    """Label shares with their ``place`` in the report: most percent first, then by label; a row per label."""
+    return shares.withColumn("place", F.row_number().over(Window.orderBy(F.desc("percent"), "label")))
+
+
+def source_route(source: Column, allowed: Sequence[str]) -> Column:
+    """``skipped_filtered_source`` for a row of a source that isn't allowed, else null; without allowed sources all are."""
+    other = ~F.coalesce(source.isin(*allowed), F.lit(False)) if allowed else F.lit(False)
+    return F.when(other, F.lit("skipped_filtered_source"))
+
+
+def out_of_range(rows: DataFrame, sizes: DataFrame, file: str, index: str, size: str) -> DataFrame:
+    """``file, n_rows, n_outside``: row numbers per file, repeats once, and those outside 0 up to the file's ``size``; a file of unknown size has no rows.
+
+    Row numbers are counted per file before they meet the sizes.
+    """
+    given = rows.select(file, index).distinct().filter(F.col(index).isNotNull())
+    joined = lookup(given, sizes.select(file, size), [file], "left")
+    outside = (F.col(index) < 0) | (F.col(index) >= F.coalesce(size, F.lit(0)))
+    return joined.groupBy(file).agg(F.count("*").alias("n_rows"), F.count_if(outside).alias("n_outside"))
+
+
 def status_counts(df: DataFrame, status: str) -> DataFrame:
     """Rows that are ok (null counts as ok), skipped or failed."""
     s = F.coalesce(F.col(status), F.lit("ok"))
     return df.agg(F.count("*").alias("total"), F.count_if(s == "ok").alias("ok"), F.count_if(s.startswith("skipped")).alias("skipped"), F.count_if(s == "error").alias("error"))
 
 
-def threshold_sweep(df: DataFrame, score: Column, thresholds: Sequence[float]) -> DataFrame:
-    """``threshold, scanned, qualifying, percent`` for each threshold in one pass."""
-    counts = df.agg(F.count("*").alias("scanned"), *(F.count_if(score >= t).alias(f"t{i}") for i, t in enumerate(thresholds)))
+def threshold_sweep(df: DataFrame, score: Column, thresholds: Sequence[float], malformed: Column | None = None) -> DataFrame:
+    """``threshold, scanned, qualifying, percent, malformed`` for each threshold in one pass.
+
+    Rows for which ``malformed`` holds are counted apart; they aren't scanned.
+    """
+    broken = F.coalesce(malformed, F.lit(False)) if malformed is not None else F.lit(False)
+    scanned = F.count_if(~broken).alias("scanned")
+    counts = df.agg(scanned, F.count_if(broken).alias("malformed"), *(F.count_if(~broken & (score >= t)).alias(f"t{i}") for i, t in enumerate(thresholds)))
     rows = F.array(*(F.struct(F.lit(float(t)).alias("threshold"), F.col(f"t{i}").alias("qualifying")) for i, t in enumerate(thresholds)))
-    return counts.select("scanned", F.inline(rows)).select("threshold", "scanned", "qualifying", percent(F.col("qualifying"), F.col("scanned")).alias("percent"))
+    return counts.select("scanned", "malformed", F.inline(rows)).select("threshold", "scanned", "qualifying", percent(F.col("qualifying"), F.col("scanned")).alias("percent"), "malformed")
 
 
 def last_of_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -81,7 +108,7 @@ def pending(rows: DataFrame, done: DataFrame, keys: Sequence[str], retry_failed:
     """Rows not yet in the log; with ``retry_failed`` only rows logged as ok are done."""
     if retry_failed and status in done.columns:
         done = done.filter(F.coalesce(F.col(status), F.lit("ok")) == "ok")
-    return rows.join(done.select(*keys).distinct(), list(keys), "left_anti")
+    return lookup(rows, done.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def binary_label(status: Column, text_score: Column, audio_score: Column, in_scope: Column, threshold: float) -> Column:

@@ -52,7 +52,7 @@ def mixture_weights(hours: DataFrame, corpus: str, language: str, beta_corpus: f
 
     Rows are a corpus and language each, so the windows are over a handful of rows.
     """
-    by_language = Window.partitionBy(language)
+    by_language = Window.partitionBy(language)  # a null language is one of its own
     out = hours.withColumn("_l", F.sum("hours").over(by_language))
     inner = F.pow(F.col("hours") / F.col("_l"), F.lit(beta_corpus))
     out = out.withColumn("_inner", inner / F.sum(inner).over(by_language)).withColumn("_outer", F.pow("_l", F.lit(beta_language)))
@@ -62,8 +62,9 @@ def mixture_weights(hours: DataFrame, corpus: str, language: str, beta_corpus: f
 
 
 def hours_by(df: DataFrame, group: Column, duration: str) -> DataFrame:
-    """Rows and hours of each group."""
-    return df.groupBy(group).agg(F.count("*").alias("n_rows"), (F.sum(F.col(duration).cast("double")) / 3600.0).alias("hours"))
+    """Rows and hours of each group; a duration that is missing or NaN adds a row and no time."""
+    d = F.col(duration).cast("double")
+    return df.groupBy(group).agg(F.count("*").alias("n_rows"), (F.coalesce(F.sum(F.when(~F.isnan(d), d)), F.lit(0.0)) / 3600.0).alias("hours"))
 
 
 def progress(done: int, total: int, seconds: float) -> dict[str, float]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusflow.sizing import prefix_totals
+from corpusflow.sizing import lookup, prefix_totals
 
 MIN_SEGMENT_SECONDS = 0.05
 
@@ -60,6 +60,38 @@ def segment_fault(transcript: Column, start: Column, end: Column, first: Column,
     )
 
 
+def segmenter_counters(recordings: DataFrame, segments: DataFrame, key: str) -> DataFrame:
+    """The ten counters of a segmenting run, in one row.
+
+    ``recordings`` has ``key, has_annotation, is_malformed``, a row per audio file;
+    ``segments`` has ``key, fault, seconds``, the fault null where a segment is emitted.
+    Segments are counted per recording before they meet the recordings.
+    """
+    fault = F.col("fault")
+    emitted = fault.isNull()
+    per = segments.groupBy(key).agg(
+        F.count_if(fault == "empty_transcript").alias("empty"), F.count_if(fault == "invalid").alias("invalid"), F.count_if(fault == "too_short").alias("short"),
+        F.count_if(emitted).alias("emitted"), F.sum(F.when(emitted, F.col("seconds"))).alias("seconds"),
+    )
+    read = F.col("has_annotation") & ~F.col("is_malformed")
+    joined = lookup(recordings.select(key, "has_annotation", "is_malformed"), per, [key], "left")
+    total = lambda c: F.coalesce(F.sum(F.when(read, F.col(c))), F.lit(0))
+    return joined.agg(
+        F.count("*").alias("audio_files_seen"), F.count_if("has_annotation").alias("audio_files_with_xml"), F.count_if(~F.col("has_annotation")).alias("audio_files_without_xml"),
+        F.count_if(read & (F.col("emitted") > 0)).alias("audio_files_with_segments"), F.count_if(F.col("has_annotation") & F.col("is_malformed")).alias("malformed_xml_files"),
+        total("empty").alias("empty_transcript_segments"), total("invalid").alias("invalid_segments"), total("short").alias("too_short_segments"),
+        total("emitted").alias("emitted_segments"), F.round(total("seconds"), 3).alias("emitted_seconds"),
+    )
+
+
+def with_speaker(segments: DataFrame, speakers: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """``segments`` with ``fields`` of their speaker's record, null where the speaker has none; ``speakers`` has a row per ``keys``.
+
+    A speaker of a third of all segments is spread over tasks.
+    """
+    return lookup(segments, speakers.select(*keys, *fields), list(keys), "left")
+
+
 def leaf_ordinals(df: DataFrame, leaf: str, file: str, row: str) -> DataFrame:
     """``df`` with the row's ``ordinal`` in its leaf, from 0, in path and row order.
 

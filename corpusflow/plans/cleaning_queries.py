@@ -80,6 +80,10 @@ with flagged as (
     when flag_audio_too_short then 'audio_too_short' end as drop_reason from flagged
 )
 """
+_COUNTED = {
+    "kept": "drop_reason is null", "dropped_total": "drop_reason is not null", "flag_english": "flag_contains_english", "flag_number": "flag_contains_number",
+    "flag_bracket": "flag_contains_bracket_token", "flag_short": "flag_audio_too_short", "flag_no_duration": "flag_missing_duration",
+} | {f"dropped_{reason}": f"drop_reason = '{reason}'" for reason in ("contains_english", "contains_number", "audio_too_short")}
 
 QUERIES = {
     f.__name__: f
@@ -94,7 +98,8 @@ SQL = {
   count_if(drop_reason is null) as kept, count_if(flag_contains_english) as flag_english, count_if(flag_contains_number) as flag_number,
   count_if(flag_contains_bracket_token) as flag_bracket, count_if(flag_audio_too_short) as flag_short, count_if(flag_missing_duration) as flag_no_duration,
   count_if(drop_reason = 'contains_english') as dropped_contains_english, count_if(drop_reason = 'contains_number') as dropped_contains_number,
-  count_if(drop_reason = 'audio_too_short') as dropped_audio_too_short, count_if(drop_reason is null) / count(*) * 100.0::double as kept_percent
+  count_if(drop_reason = 'audio_too_short') as dropped_audio_too_short, count_if(drop_reason is not null) as dropped_total,
+  {', '.join(f"count_if({rule}) / count(*) * 100.0::double as {name}_percent" for name, rule in _COUNTED.items())}
 from routed group by rollup({sql.source_name('source')})""",
     "clean_flags": _FLAGGED + f"select uid, ingested_at, {', '.join(FLAGS)}, drop_reason from routed",
     "clean_rows": _FLAGGED + "select uid, ingested_at, transcript, duration from routed where drop_reason is null",
@@ -103,7 +108,7 @@ from routed group by rollup({sql.source_name('source')})""",
   when coalesce(duration_sec < 0.5 and not isnan(duration_sec), false) then 'audio_too_short'
   when duration_sec is null or isnan(duration_sec) then 'missing_duration' else 'clean' end as disposition, count(*) as n_rows
 from row_probabilities group by all""",
-    "clean_per_shard": _FLAGGED + "select source_file as shard, coalesce(drop_reason, 'clean') as disposition, count(*) as n_rows from routed group by all",
+    "clean_per_shard": _FLAGGED + "select source_file as shard, coalesce(drop_reason, 'clean') as disposition, count(*) as n_rows, " + ", ".join(f"count_if({f}) as n_{f}" for f in FLAGS) + " from routed group by all",
     "missing_transcript_shard": f"select {sql.source_name('source')} as source, 'missing_transcript' as drop_reason, count(*) as n_rows from recordings group by all",
     "mixture_skip_router": _FLAGGED
     + """select case when coalesce(trim(transcript, ' '), '') = '' then 'empty_text' when flag_audio_too_short then 'flag_audio_too_short'

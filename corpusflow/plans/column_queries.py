@@ -58,6 +58,14 @@ def safe_casts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "segment_specs").groupBy("recording_id").agg(F.count(number).alias("n_numbers"), F.max(number).alias("most"))
 
 
+def audio_of_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Transcript files with the audio file that their name leads to."""
+    path = F.col("original_audio_path")
+    files = table(spark, folder, "recordings").filter("original_audio_path is not null")
+    records = files.select("recording_id", F.concat(F.lit("./"), F.regexp_replace(path, r"\.wav$", ""), F.lit("_Arabic_transcription.txt")).alias("text_path"))
+    return columns.with_audio(records, "text_path", files, "original_audio_path")
+
+
 def paths_and_parts(spark: SparkSession, folder: str) -> DataFrame:
     """Paths made absolute, and those that hold a directory of a name."""
     path = F.col("original_audio_path")
@@ -92,7 +100,7 @@ def replace_subset_guarded(spark: SparkSession, folder: str) -> DataFrame:
     """One source's rows replaced by others, their number checked."""
     rows = table(spark, folder, "documents").select("doc_id", source_name(F.col("source")).alias("source"), "n_chars")
     new = rows.filter("source = 'subtitles'").withColumn("n_chars", F.lit(0).cast("bigint"))
-    replaced = audit.replaced_subset(rows, F.col("source") == "subtitles", new)
+    replaced = audit.replaced_subset(rows, F.col("source") == "subtitles", new, expected=rows.filter("source = 'subtitles'").count())
     return replaced.groupBy("source").agg(F.count("*").alias("n_rows"), F.sum("n_chars").alias("n_chars"))
 
 
@@ -143,7 +151,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         source_canonical, source_from_row, row_uids, dataset_from_path, stable_file_ids, first_text_per_row, safe_casts, paths_and_parts, union_aligned, union_tagged,
-        merged_without_clash, replace_subset_guarded, dedup_keep_first, grouped_sources, single_source_log, routed_leaves, corpus_of_path, numbered_uids, capped_rows,
+        merged_without_clash, replace_subset_guarded, dedup_keep_first, grouped_sources, single_source_log, routed_leaves, corpus_of_path, numbered_uids, capped_rows, audio_of_records,
     )
 }
 SQL = {
@@ -155,7 +163,9 @@ from row_probabilities""",
     "dataset_from_path": """select recording_id, case when starts_with(original_audio_path, '/data/') and len(string_split(substring(original_audio_path, 7), '/')) >= 2
   then string_split(substring(original_audio_path, 7), '/')[1] else coalesce(nullif(string_split(original_audio_path, '/')[-2], ''), 'unknown') end as dataset from recordings""",
     "stable_file_ids": """select recording_id, regexp_replace(replace(original_audio_path, '/', '__'), '[^A-Za-z0-9_.-]+', '_', 'g') || '__' || substring(md5(original_audio_path), 1, 10) as file_id,
-  translate(original_audio_path, '/\\: ', '____') as safe from recordings""",
+  replace(replace(replace(replace(original_audio_path, '/', '__'), ' ', '_'), ':', '_'), chr(92), '__') as safe from recordings""",
+    "audio_of_records": """select recording_id, './' || regexp_replace(original_audio_path, '[.]wav$', '') || '_Arabic_transcription.txt' as text_path, original_audio_path as audio_path
+from recordings where original_audio_path is not null""",
     "first_text_per_row": f"""select uid, ingested_at, coalesce(nullif({sql.collapsed('metadata_json')}, ''), nullif({sql.collapsed('transcript')}, ''), nullif({sql.collapsed('normalized_transcript')}, '')) as text,
   case when {sql.collapsed('metadata_json')} != '' then 'metadata_json' when {sql.collapsed('transcript')} != '' then 'transcript'
     when {sql.collapsed('normalized_transcript')} != '' then 'normalized_transcript' end as text_field,

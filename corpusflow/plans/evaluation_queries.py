@@ -43,14 +43,14 @@ def metrics_by_source(spark: SparkSession, folder: str) -> DataFrame:
 
 def base_vs_tuned(spark: SparkSession, folder: str) -> DataFrame:
     """Improvement of the tuned over the base predictions."""
-    rows = _predictions(spark, folder)
-    return evaluate.compared(*(evaluate.corpus_metrics(evaluate.pair_errors(rows, "reference", c)) for c in ("base", "tuned")))
+    return evaluate.compared(evaluate.pair_errors(_predictions(spark, folder), "reference", {"base_": "base", "tuned_": "tuned"}))
 
 
 def prediction_contract(spark: SparkSession, folder: str) -> DataFrame:
-    """Faults of the predictions against their contract."""
-    rows = _predictions(spark, folder).withColumns({"prediction": F.col("base"), "run_name": F.lit("r"), "model_name": F.col("source")})
-    return evaluate.contract_faults(rows, ["uid", "reference", "prediction", "run_name", "config_hash"], ["run_name", "model_name"])
+    """Faults of the predictions against their contract: a run that names states by source and lacks some training hashes."""
+    state = F.when(F.col("source") == "qasr", "tuned").when(F.col("source") == "layla", "other").otherwise("base")
+    given = {"prediction": F.col("base"), "model_name": F.col("source"), "model_family": F.lit("whisper"), "tuned_or_base": state, "run_name": F.lit("r"), "config_hash": F.lit(""), "tuned_adapter_path": F.lit("a")}
+    return evaluate.contract_faults(_predictions(spark, folder).withColumns(given))
 
 
 def prediction_health(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,8 +96,16 @@ def prediction_normalize(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def manifest_contract(spark: SparkSession, folder: str) -> DataFrame:
-    """Faults of the manifest rows."""
-    return prepare.manifest_faults(_manifest(spark, folder), ["uid", "audio_path", "text", "duration", "sample_rate", "source"], "duration", "sample_rate")
+    """Faults of the manifest rows, the recordings being the files there are."""
+    files = table(spark, folder, "recordings").filter(source_name(F.col("source")) != "layla")
+    return prepare.manifest_faults(_manifest(spark, folder), files, "original_audio_path")
+
+
+def model_families(spark: SparkSession, folder: str) -> DataFrame:
+    """The family of a model name for each nation."""
+    names = sorted(m for names in prepare.MODELS.values() for m in names)
+    name = F.element_at(F.array(*map(F.lit, names)), (F.col("n_nationkey") % len(names) + 1).cast("int"))
+    return table(spark, folder, "nation").select("n_nationkey", name.alias("model_name")).withColumn("model_family", prepare.family_of(F.col("model_name")))
 
 
 def collated_batches(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,7 +150,7 @@ def mixture_hours(spark: SparkSession, folder: str) -> DataFrame:
 
 def mixture_weights(spark: SparkSession, folder: str) -> DataFrame:
     """Sampling weights of corpora and languages from their train hours."""
-    rows = table(spark, folder, "segments").filter("language is not null").withColumns({"corpus": source_name(F.col("source")), "part": split_name(F.col("split"))})
+    rows = table(spark, folder, "segments").withColumns({"corpus": source_name(F.col("source")), "part": split_name(F.col("split"))})
     hours = stats.mixture_hours(rows, "corpus", "language", "part", "duration")
     return stats.mixture_weights(hours, "corpus", "language", 0.5, 0.25).withColumn("weight", F.round("weight", 6))
 
@@ -155,8 +163,8 @@ def mixture_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def clock_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Durations of recordings as clock texts."""
-    rows = table(spark, folder, "recordings").filter("audio_duration is not null and not isnan(audio_duration)")
-    return rows.select("recording_id", stats.clock(F.col("audio_duration") * 100).alias("clock"))
+    length = F.nanvl("audio_duration", F.lit(None).cast("double"))
+    return table(spark, folder, "recordings").select("recording_id", stats.clock(length * 100).alias("clock"))
 
 
 def pcm_and_kind(spark: SparkSession, folder: str) -> DataFrame:
@@ -164,7 +172,7 @@ def pcm_and_kind(spark: SparkSession, folder: str) -> DataFrame:
     data = F.col("audio")
     rows = table(spark, folder, "segments")
     return rows.select(
-        "uid", "ingested_at", F.round(audio.pcm_seconds(data, F.lit(16000)), 9).alias("seconds"), audio.encoding_of(data).alias("kind"), audio.located(F.lit(None), data, F.col("original_audio_path")).alias("place")
+        "uid", "ingested_at", F.round(audio.pcm_seconds(data, F.lit(16000)), 9).alias("seconds"), audio.encoding_of(data).alias("kind"), audio.located(rows).alias("place")
     )
 
 
@@ -249,7 +257,7 @@ QUERIES = {
     for f in (
         wer_cer_per_row, metrics_six, metrics_by_source, base_vs_tuned, prediction_contract, prediction_health, best_epoch_early_stop, prepare_seq2seq, prepare_chat, prepare_ctc,
         prediction_normalize, manifest_contract, collated_batches, mock_predictions, mock_losses, duration_stats, text_stats_by_split, mixture_hours, mixture_weights, mixture_counts, clock_texts,
-        pcm_and_kind, pcm_energy, model_map, event_windows,
+        pcm_and_kind, pcm_energy, model_map, event_windows, model_families,
     )
 }
 SQL = {
@@ -261,7 +269,10 @@ SQL = {
     + _errors("tuned", "uid")
     + f""" select metric, b.value as base, t.value as tuned, b.value - t.value as absolute, (b.value - t.value) / nullif(b.value, 0) as relative
 from ({_metrics('base')}) b join ({_metrics('tuned')}) t using (metric)""",
-    "prediction_contract": _PREDICTIONS + " select count(*) as n_rows, 'config_hash' as missing_columns, 0::bigint as n_nulls, 'model_name' as varying_columns from predictions",
+    "prediction_contract": _PREDICTIONS
+    + """ select count(*) as n_rows, count(*) = 0 as is_empty, count_if(source is null or coalesce(source = 'qasr', false)) as n_missing,
+  array_to_string(list_filter([case when count_if(source is null) > 0 then 'model_name' end, case when count_if(source = 'qasr') > 0 then 'training_config_hash' end], lambda x: x is not null), ',') as missing_columns,
+  count_if(coalesce(source = 'layla', false)) as n_bad_state, 'model_name,tuned_or_base' as varying_columns, 'config_hash' as empty_columns from predictions""",
     "prediction_health": _PREDICTIONS
     + """ select (select count(*) from predictions) as n_rows, (select count(*) from predictions where trim(tuned, ' ') = '') as n_empty,
   (select round(sum(duration::double) / 3600, 6) from predictions) as hours,
@@ -276,14 +287,20 @@ with recursive days as (select (ts::date - date '1970-01-01')::int as epoch, rou
   from ordered o join walk w on o.i = w.i + 1 where w.waited < 3
 ) select best_epoch, best_value, epoch as stopped_epoch from walk order by i desc limit 1""",
     "prepare_seq2seq": _MANIFEST
-    + "select uid, 'seq2seq' as architecture, audio_path as input_audio_path, text as labels_text, 'transcribe' as task from manifest where not duration > 5.0::double",
+    + "select uid, 'seq2seq' as architecture, audio_path as input_audio_path, text as labels_text, 'transcribe' as task from manifest where coalesce(duration <= 5.0::double, true)",
     "prepare_chat": _MANIFEST + "select uid, 3 as n_turns, audio_path, 'What is said?' as asked, text as answer from manifest",
     "prepare_ctc": _MANIFEST + "select uid, 'ctc' as architecture, 'asr' as task, 'apc_Arab' as language, text as target_text from manifest",
     "prediction_normalize": """select r.uid, coalesce(s.transcript, '') as reference, coalesce(r.text, '') as prediction, 'm' as model_name, 'base' as tuned_or_base
 from (select distinct uid, text from row_probabilities) r left join (select uid, transcript from segments qualify row_number() over (partition by uid order by ingested_at desc) = 1) s using (uid)""",
     "manifest_contract": _MANIFEST
-    + """select count(*) as n_rows, count_if(audio_path is null or duration is null or sample_rate is null or source is null) as n_lacking,
-  count_if(not coalesce(duration > 0 and not isnan(duration), false)) as n_bad_duration, count_if(not coalesce(sample_rate > 0, false)) as n_bad_rate from manifest""",
+    + """select count(*) as n_rows, count(*) = 0 as is_empty, '' as missing_columns,
+  count_if(uid is null or audio_path is null or duration is null or sample_rate is null or source is null) as n_lacking,
+  count_if(audio_path is not null and audio_path not in (select original_audio_path from recordings where original_audio_path is not null and """
+    + sql.source_name("source")
+    + """ != 'layla')) as n_no_file,
+  count_if(coalesce(duration <= 0 or isnan(duration), false)) as n_bad_duration, count_if(coalesce(sample_rate <= 0, false)) as n_bad_rate from manifest""",
+    "model_families": """with n as (select n_nationkey, ['Omni ASR 1B', 'Omni ASR 300M', 'Qwen/Qwen3-ASR-0.6B', 'Qwen/Qwen3-ASR-1.7B', 'openai/whisper-large-v3', 'openai/whisper-medium'][n_nationkey % 6 + 1] as model_name from nation)
+select *, case when starts_with(model_name, 'Omni') then 'omni' when starts_with(model_name, 'Qwen') then 'qwen' else 'whisper' end as model_family from n""",
     "collated_batches": """select floor(item_id / 16)::bigint as batch_id, string_agg(uid, ',' order by item_id) as uids, string_agg(split, ',' order by item_id) as splits from eval_items group by all""",
     "mock_predictions": f"select item_id, md5('{MARKER} ' || text) as base, '{MARKER}' as placeholder, md5(text) as tuned from eval_items",
     "mock_losses": """select r_regionkey as epoch, round(greatest(0.001::double, 1.0::double / (r_regionkey + 1) + 0.01::double * 4), 9) as train_loss,
@@ -297,20 +314,20 @@ select part, count(*) as n_rows, round(avg(d), 6) as duration_mean, round(min(d)
   max(c)::int as chars_max, round(avg(w), 6) as words_mean, min(w)::int as words_min, max(w)::int as words_max from m group by part""",
     "mixture_hours": f"""select {sql.source_name('source')} as corpus, language, round(sum(duration::double) / 3600, 6) as hours from segments where {sql.split_name('split')} = 'train' group by all""",
     "mixture_weights": f"""with h as (
-  select {sql.source_name('source')} as corpus, language, sum(duration::double) / 3600 as hours from segments where {sql.split_name('split')} = 'train' and language is not null group by all
+  select {sql.source_name('source')} as corpus, language, sum(duration::double) / 3600 as hours from segments where {sql.split_name('split')} = 'train' group by all
 ), l as (select language, sum(hours) as total from h group by language), i as (
-  select corpus, language, pow(hours / total, 0.5) as w, pow(total, 0.25) as o from h join l using (language)
+  select corpus, h.language, pow(hours / total, 0.5) as w, pow(total, 0.25) as o from h join l on h.language is not distinct from l.language
 ) select corpus, language, round(w / sum(w) over (partition by language) * o / (select sum(pow(total, 0.25)) from l), 6) as weight from i""",
     "mixture_counts": f"""with r as (select {sql.split_name('split')} as split, {sql.source_name('source')} as corpus, language from segments)
 select 'split' as dimension, split as value, count(*) as n from r group by split union all select 'corpus', corpus, count(*) from r group by corpus
 union all select 'language', language, count(*) from r group by language""",
-    "clock_texts": """with s as (select recording_id, floor(audio_duration * 100)::bigint as s from recordings where audio_duration is not null and not isnan(audio_duration))
+    "clock_texts": """with s as (select recording_id, floor(case when not isnan(audio_duration) then audio_duration end * 100)::bigint as s from recordings)
 select recording_id, case when s >= 3600 then (s // 3600)::varchar || 'h' || lpad((s // 60 % 60)::varchar, 2, '0') || 'm' || lpad((s % 60)::varchar, 2, '0') || 's'
   when s >= 60 then (s // 60)::varchar || 'm' || lpad((s % 60)::varchar, 2, '0') || 's' else s::varchar || 's' end as clock from s""",
-    "pcm_and_kind": """select uid, ingested_at, round(octet_length(audio) / 2.0::double / 16000, 9) as seconds,
+    "pcm_and_kind": """select uid, ingested_at, round(coalesce(octet_length(audio) / 2.0::double / 16000, 0), 9) as seconds,
   case when audio is null then null when starts_with(hex(audio), '52494646') then 'wav' when starts_with(hex(audio), '664C6143') then 'flac' when starts_with(hex(audio), '4F676753') then 'ogg'
     when starts_with(hex(audio), '494433') then 'mp3' else 'pcm' end as kind,
-  case when octet_length(audio) > 0 then 'bytes' when coalesce(trim(original_audio_path, ' '), '') != '' then 'path' end as place from segments""",
+  case when audio is not null then 'audio' when coalesce(trim(original_audio_path, ' '), '') != '' then 'original_audio_path' end as place from segments""",
     "model_map": f"""select uid, ingested_at, case when coalesce({sql.collapsed('transcript')}, '') = '' then 'skipped_empty' else 'ok' end as status,
   case when coalesce({sql.collapsed('transcript')}, '') != '' then round(1.0::double / (1 + length(transcript)), 9) end as short from segments""",
     "event_windows": """select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all""",

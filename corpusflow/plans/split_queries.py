@@ -9,6 +9,7 @@ from corpusflow.functions.reading import source_name
 from corpusflow.operators import splits, timing
 from corpusflow.plans import sql
 from corpusflow.plans.tables import table
+from corpusflow.sizing import lookup
 
 SECONDS, ROWS_PER_SHARD, SHARD_BYTES = 3600.0, 100, 4096
 
@@ -79,10 +80,11 @@ def shard_index(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _specs(spark: SparkSession, folder: str) -> DataFrame:
-    specs = table(spark, folder, "segment_specs").dropDuplicates(["recording_id", "segment_id"]).drop("start_time", "end_time")
+    specs = table(spark, folder, "segment_specs").select("recording_id", "segment_id", "raw_start_time", "raw_end_time").distinct()
     lengths = table(spark, folder, "recordings").select("recording_id", F.coalesce(F.nanvl("audio_duration", F.lit(None).cast("double")), F.lit(1e9)).alias("audio_duration"))
     clean = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
-    return specs.select("recording_id", "segment_id", clean("raw_start_time"), clean("raw_end_time")).join(lengths, "recording_id")
+    joined = lookup(specs.select("recording_id", "segment_id", clean("raw_start_time"), clean("raw_end_time")), lengths, ["recording_id"], "left")
+    return joined.withColumn("audio_duration", F.coalesce("audio_duration", F.lit(1e9)))
 
 
 def next_start(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,12 +100,25 @@ def segment_times(spark: SparkSession, folder: str) -> DataFrame:
 
 def segment_validity(spark: SparkSession, folder: str) -> DataFrame:
     """Segments by the fault that keeps them from being emitted."""
+    return _judged(spark, folder).groupBy(F.coalesce("fault", F.lit("emitted")).alias("fate")).agg(F.count("*").alias("n_segments"), F.sum("frames").alias("n_frames"))
+
+
+def _judged(spark: SparkSession, folder: str) -> DataFrame:
     times = segment_times(spark, folder)
     texts = table(spark, folder, "segments").filter("recording_id is not null").groupBy("recording_id", "segment_id").agg(F.max("transcript").alias("transcript"))
     rows = times.join(texts, ["recording_id", "segment_id"], "left")
     first, after = timing.frame_range(F.col("resolved_start"), F.col("resolved_end"), F.lit(16000), F.lit(16_000_000_000_000))
     fault = timing.segment_fault(F.col("transcript"), F.col("resolved_start"), F.col("resolved_end"), first, after, F.lit(16000))
-    return rows.groupBy(F.coalesce(fault, F.lit("emitted")).alias("fate")).agg(F.count("*").alias("n_segments"), F.sum(after - first).alias("n_frames"))
+    return rows.select("recording_id", fault.alias("fault"), (after - first).alias("frames"))
+
+
+def segmenter_counters(spark: SparkSession, folder: str) -> DataFrame:
+    """The counters of a segmenting run over all recordings; one without the name of its service stands for a malformed one."""
+    noted = table(spark, folder, "segment_specs").select("recording_id").distinct().withColumn("noted", F.lit(True))
+    recordings = lookup(table(spark, folder, "recordings").select("recording_id", "service_name"), noted, ["recording_id"], "left")
+    recordings = recordings.select("recording_id", F.col("noted").isNotNull().alias("has_annotation"), F.col("service_name").isNull().alias("is_malformed"))
+    segments = _judged(spark, folder).withColumn("seconds", F.col("frames") / 16000.0)
+    return timing.segmenter_counters(recordings, segments, "recording_id")
 
 
 _DOCS = f"(select doc_id, {sql.source_name('source')} as source, n_chars, source_file from documents)"
@@ -120,7 +135,7 @@ _RECORDS = f"""records as (
 _SPECS = """specs as (
   select s.recording_id, s.segment_id, case when not isnan(raw_start_time) then raw_start_time end as a, case when not isnan(raw_end_time) then raw_end_time end as b,
     coalesce(case when not isnan(audio_duration) then audio_duration end, 1e9::double) as dur
-  from (select distinct recording_id, segment_id, raw_start_time, raw_end_time from segment_specs) s join recordings using (recording_id)
+  from (select distinct recording_id, segment_id, raw_start_time, raw_end_time from segment_specs) s left join recordings using (recording_id)
 ), ordered as (
   select *, row_number() over w as i, count(*) over (partition by recording_id) as n,
     first_value(a ignore nulls) over (partition by recording_id order by segment_id rows between 1 following and unbounded following) as nx
@@ -138,12 +153,23 @@ _TIMES = (
 ), times as (select recording_id, segment_id, st as resolved_start, en as resolved_end from walk where i > 0)
 """
 )
+_JUDGED = (
+    _TIMES
+    + """, texts as (select recording_id, segment_id, max(transcript) as transcript from segments group by all
+), framed as (
+  select t.*, x.transcript, greatest(0, floor(resolved_start * 16000)) as f, least(16000000000000, ceil(resolved_end * 16000)) as l from times t left join texts x using (recording_id, segment_id)
+), judged as (
+  select *, case when coalesce(trim(transcript, ' '), '') = '' then 'empty_transcript' when resolved_end <= resolved_start then 'invalid' when l <= f then 'invalid'
+    when (l - f) / 16000 < 0.05 then 'too_short' end as fault from framed
+)
+"""
+)
 
 QUERIES = {
     f.__name__: f
     for f in (
         stratified_split, split_counts, split_disjointness, hash_order_first_n, budget_greedy, budget_three_phase, fixed_row_shards, leaf_ordinals, byte_budget_shards,
-        shard_index, next_start, segment_times, segment_validity,
+        shard_index, next_start, segment_times, segment_validity, segmenter_counters,
     )
 }
 SQL = {
@@ -188,10 +214,14 @@ with recursive ordered as (select doc_id, source_file, strlen(text) as size, row
     "shard_index": "select source_file, count(*) as row_count, sum(octet_length(audio))::bigint as n_bytes, round(sum(duration::double), 4) as duration_seconds from segments group by all",
     "next_start": "with " + _SPECS + " select recording_id, segment_id, nx as next_start from ordered",
     "segment_times": _TIMES + "select * from times",
-    "segment_validity": _TIMES
-    + """, texts as (select recording_id, segment_id, max(transcript) as transcript from segments group by all
-), framed as (
-  select t.*, x.transcript, greatest(0, floor(resolved_start * 16000)) as f, least(16000000000000, ceil(resolved_end * 16000)) as l from times t left join texts x using (recording_id, segment_id)
-) select case when coalesce(trim(transcript, ' '), '') = '' then 'empty_transcript' when resolved_end <= resolved_start then 'invalid' when l <= f then 'invalid'
-  when (l - f) / 16000 < 0.05 then 'too_short' else 'emitted' end as fate, count(*) as n_segments, sum(l - f)::bigint as n_frames from framed group by all""",
+    "segment_validity": _JUDGED + "select coalesce(fault, 'emitted') as fate, count(*) as n_segments, sum(l - f)::bigint as n_frames from judged group by all",
+    "segmenter_counters": _JUDGED
+    + """, per as (select recording_id, fault, (l - f) / 16000.0::double as seconds from judged join recordings using (recording_id) where service_name is not null)
+select (select count(*) from recordings) as audio_files_seen, (select count(*) from recordings where recording_id in (select recording_id from segment_specs)) as audio_files_with_xml,
+  (select count(*) from recordings where recording_id not in (select recording_id from segment_specs)) as audio_files_without_xml,
+  (select count(distinct recording_id) from per where fault is null) as audio_files_with_segments,
+  (select count(*) from recordings where service_name is null and recording_id in (select recording_id from segment_specs)) as malformed_xml_files,
+  (select count(*) from per where fault = 'empty_transcript') as empty_transcript_segments, (select count(*) from per where fault = 'invalid') as invalid_segments,
+  (select count(*) from per where fault = 'too_short') as too_short_segments, (select count(*) from per where fault is null) as emitted_segments,
+  (select round(coalesce(sum(seconds), 0), 3) from per where fault is null) as emitted_seconds""",
 }

@@ -65,6 +65,11 @@ def english_tokens_by_field_shard(spark: SparkSession, folder: str) -> DataFrame
     return audit.token_audit(table(spark, folder, "segments"), ["transcript", "normalized_transcript", "prompt"], "source_file")
 
 
+def english_tokens_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Latin tokens over all with their place in the order of their letters."""
+    return audit.tokens_in_order(english_tokens_by_field_shard(spark, folder))
+
+
 def top_examples_per_shard(spark: SparkSession, folder: str) -> DataFrame:
     """The first ten documents of each shard that hold a Latin letter."""
     rows = table(spark, folder, "documents").filter(text.has_latin(F.col("text")))
@@ -75,8 +80,7 @@ def join_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of transcripts, marks apart, put together again."""
     # Marks become tokens of their own, as annotation files have them.
     parts = F.split(text.collapsed(F.regexp_replace("transcript", r"([،؛؟.,!?:()«»\[\]])", " $1 ")), " ")
-    rows = table(spark, folder, "segments").filter("transcript is not null")
-    return rows.select("uid", "ingested_at", text.joined_tokens(parts).alias("joined"))
+    return table(spark, folder, "segments").select("uid", "ingested_at", text.joined_tokens(parts).alias("joined"))
 
 
 def unit_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,7 +109,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_full, normalize_segmenter, normalize_basic, normalize_loose, collapse_whitespace, strip_placeholders, strip_spans, recover_rows,
-        english_tokens_by_field_shard, top_examples_per_shard, join_tokens, unit_counts,
+        english_tokens_by_field_shard, english_tokens_in_order, top_examples_per_shard, join_tokens, unit_counts,
     )
 }
 
@@ -131,14 +135,15 @@ select uid, ingested_at, stripped, {sql.has('stripped', chars.DIGITS)} as flag_n
         "english_tokens_by_field_shard": _AUDIT_TOKENS
         + """select case grouping(shard) * 2 + grouping(field) when 3 then 'all' when 2 then 'field' when 1 then 'shard' else 'shard_field' end as level,
   field, shard, token, count(*) as n from tokens group by grouping sets ((token), (field, token), (shard, token), (shard, field, token))""",
+        "english_tokens_in_order": _AUDIT_TOKENS + "select token, count(*) as n, row_number() over (order by token) as place from tokens group by token",
         "top_examples_per_shard": f"""select source_file, doc_id, row_number() over (partition by source_file order by doc_id)::int as place, substring(text, 1, 160) as preview
 from documents where {sql.has('text', chars.LATIN)} qualify row_number() over (partition by source_file order by doc_id) <= 10""",
         "unit_counts": f"""select uid, ingested_at, (case when {sql.collapsed("coalesce(transcript, '')")} = '' then 0
   else len(string_split({sql.collapsed("coalesce(transcript, '')")}, ' ')) end)::int as n_words, length(replace(coalesce(transcript, ''), ' ', ''))::int as n_chars from segments""",
         "join_tokens": f"""
 with recursive parts as (
-  select uid, ingested_at, list_filter(string_split({sql.collapsed("regexp_replace(transcript, '([،؛؟.,!?:()«»\\[\\]])', ' \\1 ', 'g')")}, ' '), lambda x: x != '') as p
-  from segments where transcript is not null
+  select uid, ingested_at, list_filter(string_split({sql.collapsed("regexp_replace(coalesce(transcript, ''), '([،؛؟.,!?:()«»\\[\\]])', ' \\1 ', 'g')")}, ' '), lambda x: x != '') as p
+  from segments
 ), walk as (
   select uid, ingested_at, p, 1 as i, coalesce(p[1], '') as joined from parts
   union all

@@ -9,7 +9,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,19 @@ def markdown(df: DataFrame, title: str) -> Iterator[str]:
         yield "| " + " | ".join("" if v is None else str(v) for v in row) + " |"
 
 
+def snapshot(spark: SparkSession, path: str, copy: str) -> bool:
+    """A table's files copied to ``copy`` before the table is replaced; False where the copy is there already and stays as it is."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, copy))
+    files = target.getFileSystem(conf)
+    if files.exists(target):
+        return False
+    part = jvm.org.apache.hadoop.fs.Path(f"{copy}.part")
+    files.delete(part, True)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, files, part, False, True, conf)
+    return files.rename(part, target)
+
+
 def file_manifest(df: DataFrame) -> DataFrame:
     """Files of a table with their rows."""
     return df.groupBy(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("n_bytes")).agg(F.count("*").alias("n_rows"))
@@ -72,4 +85,13 @@ def cached(df: DataFrame, folder: str, settings: Any) -> tuple[DataFrame, bool]:
     there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
     if not there:
         df.write.mode("overwrite").parquet(path)
+        noted = spark.createDataFrame([(canonical_json(settings), df.schema.json())], "settings string, fields string")
+        noted.coalesce(1).write.mode("overwrite").json(f"{path}.metadata")
     return spark.read.schema(df.schema).parquet(path), there
+
+
+def clear_cached(spark: SparkSession, folder: str, settings: Any) -> bool:
+    """What ``cached`` keeps under these settings, removed; whether there was any."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f"{folder}/{content_key(settings)}{end}") for end in ("", ".metadata")]
+    return [p.getFileSystem(conf).delete(p, True) for p in paths][0]

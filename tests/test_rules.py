@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpusflow.functions import distance
 from corpusflow.operators import evaluate, splits, timing
 from corpusflow.sizing import is_small, lookup, prefix_totals
 
@@ -120,27 +121,29 @@ def edit(a, b):
     return row[-1]
 
 
+def test_sequence_distance():
+    rng = random.Random(5)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in range(2))
+        assert distance.sequence_distance(a, b) == edit(a, b) == distance.sequence_distance(list(a), list(b))
+    many = [str(i) for i in range(40_000)]
+    assert distance.sequence_distance(many, many[::-1][:20]) == 39_999
+    assert distance.sequence_distance(many, [*many[1:], "x"]) == 2
+
+
 def test_word_distance(spark):
-    rng = random.Random(9)
-    pairs = [([rng.choice("abcde") * 3 for _ in range(rng.randint(0, 9))], [rng.choice("abcde") * 3 for _ in range(rng.randint(0, 9))]) for _ in range(80)]
-    df = spark.createDataFrame(pairs, "r array<string>, h array<string>")
-    assert [r[0] for r in df.select(evaluate.word_distance(F.col("r"), F.col("h"))).collect()] == [edit(a, b) for a, b in pairs]
-
-
-def test_word_distance_of_many_words(spark):
-    # Many words on one side only, so the distance stays cheap; past 35,328 words characters would be surrogates.
-    numbered = lambda a, b: F.transform(F.sequence(F.lit(a), F.lit(b), F.lit(1 if a < b else -1)), lambda i: i.cast("string"))
-    pairs = {"swapped": (numbered(1, 36_000), numbered(36_000, 35_981), 35_999), "end": (numbered(1, 36_000), numbered(35_991, 36_000), 35_990), "few": (numbered(1, 30), numbered(2, 31), 2)}
-    for name, (reference, hypothesis, distance) in pairs.items():
-        df = spark.range(1).select(reference.alias("r"), hypothesis.alias("h"))
-        assert df.select(evaluate.word_distance(F.col("r"), F.col("h"))).first()[0] == distance, name
-
-
-def test_word_distance_past_its_bound(spark, monkeypatch):
-    monkeypatch.setattr(evaluate, "MOST_WORDS", 3)
-    df = spark.createDataFrame([(["a", "b"], ["c", "d"])], "r array<string>, h array<string>")
-    with pytest.raises(Exception, match="more than 3 distinct words"):
-        df.select(evaluate.word_distance(F.col("r"), F.col("h"))).collect()
+    pairs = [("a b c", "a c", 1), ("", "a b", 2), (None, "a", 1), (None, None, 0), (" a  b ", "a b", 0), (" ".join(map(str, range(50_000))), "7 x", 49_999)]
+    df = spark.createDataFrame(pairs, "r string, h string, d int")
+    assert df.select((distance.word_distance("r", "h") == F.col("d")).alias("same")).filter("same").count() == len(pairs)
+
+
+def test_two_hypotheses_in_one_pass(spark):
+    df = spark.createDataFrame([("a b c d", "a b c", "a b c d"), ("x y", "x z", "x"), (None, "q", None)], "r string, base string, tuned string")
+    both = {r["metric"]: r for r in evaluate.compared(evaluate.pair_errors(df, "r", {"base_": "base", "tuned_": "tuned"})).collect()}
+    for side in ("base", "tuned"):
+        alone = {r["metric"]: r["value"] for r in evaluate.corpus_metrics(evaluate.pair_errors(df, "r", side)).collect()}
+        assert {m: r[side] for m, r in both.items()} == alone
+    assert both["wer"]["absolute"] == pytest.approx(3 / 6 - 1 / 6) and both["wer"]["relative"] == pytest.approx(2 / 3)
 
 
 def test_error_rates(spark):

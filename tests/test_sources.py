@@ -36,17 +36,56 @@ def test_jsonl_counts_bad_lines(spark, tmp_path):
     schema = spark.createDataFrame([], "uid string, n bigint").schema
     good, bad = readers.read_jsonl(spark, [str(tmp_path / "log.jsonl")], schema)
     assert sorted(map(tuple, good.collect())) == [("a", 1), ("b", None)]
-    assert [r["n_malformed"] for r in bad.collect()] == [1]
+    assert [(r["file_name"], r["line"]) for r in bad.collect()] == [("log.jsonl", "{bad")]
 
 
-def test_annotations_prefer_a_list(spark, tmp_path):
+def test_annotations(spark, tmp_path):
     (tmp_path / "r1.xml").write_text(
-        "<transcript><head/><body><segments annotation_id='other'><segment id='x' who='s'/></segments>"
-        "<segments annotation_id='transcript_align'><segment id='s1' who='p1' starttime='1.5' endtime='2'><element>a</element><element>b</element></segment>"
-        "<segment id='s2' who='p2' starttime='' endtime='x'><element>c</element></segment></segments></body></transcript>"
+        "<transcript><head><recording filename='rec_1' service_name='MSA'/><speakers><speaker id='p1' name='N' normalizedName='n' speakerGender='male'/></speakers></head>"
+        "<body><segments annotation_id='other'><segment id='x' who='s'/></segments>"
+        "<segments annotation_id='transcript_align'><segment id='s1' who='p1' starttime='1.5' endtime='2' AWD='0.4' PMER='1' WMER='2'><element>a</element><element> </element><element>.</element></segment>"
+        "<segment who='p2' starttime='' endtime='x'><element>c</element></segment></segments></body></transcript>"
     )
-    rows = readers.read_annotations(spark, [str(tmp_path / "r1.xml")], "transcript").orderBy("position").collect()
-    assert [(r["annotation_id"], r["segment_id"], r["start_time"], r["end_time"], r["elements"]) for r in rows] == [("transcript_align", "s1", 1.5, 2.0, ["a", "b"]), ("transcript_align", "s2", None, None, ["c"])]
+    (tmp_path / "r2.xml").write_text("<transcript><head/><body/></transcript>")
+    segments, documents = readers.read_annotations(spark, [str(tmp_path)], "transcript")
+    rows = [tuple(r) for r in segments.orderBy("position").collect()]
+    assert rows == [
+        ("rec_1", "transcript_align", 0, "s1", "p1", 1.5, 2.0, ["a", "."], "a.", "0.4", "1", "2", "N", "n", "male"),
+        ("rec_1", "transcript_align", 1, "r1_segment_000001", "p2", None, None, ["c"], "c", None, None, None, None, None, None),
+    ]
+    found = {r["file_name"]: (r["recording_id"], r["fault"]) for r in documents.collect()}
+    assert found == {"r1.xml": ("rec_1", None), "r2.xml": ("r2", "no recording")}
+    assert documents.filter("file_name = 'r1.xml'").select("recording._service_name").first()[0] == "MSA"
+
+
+def test_globs_counts_and_saved_datasets(spark, tmp_path):
+    for name in ("b/2.jsonl", "b/1.arrow", "b/3.parquet", "a/1.parquet", "a/x.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"")
+    found = readers.discover_globs([f"{tmp_path}/b/*", f"{tmp_path}/**/*.parquet"])
+    assert [f.removeprefix(f"{tmp_path}/") for f in found] == ["b/3.parquet", "b/1.arrow", "b/2.jsonl", "a/1.parquet"]
+    assert len(readers.discover_globs([f"{tmp_path}/b/*"], most=2)) == 2
+    spark.range(7).coalesce(1).write.parquet(str(tmp_path / "t"))
+    assert [r["n_rows"] for r in readers.count_rows(spark, [str(tmp_path / "t")]).collect()] == [7]
+    folder = tmp_path / "saved"
+    folder.mkdir()
+    for name in ("data-0.arrow", "cache-1.arrow"):
+        with pa.ipc.new_stream(folder / name, pa.schema([("n", pa.int64())])) as w:
+            w.write_table(pa.table({"n": [1, 2]}))
+    schema = spark.createDataFrame([], "n bigint").schema
+    assert readers.read_saved_dataset(spark, str(folder), schema).count() == 4
+    (folder / "state.json").write_text('{"_data_files": [{"filename": "data-0.arrow"}]}')
+    assert readers.read_saved_dataset(spark, str(folder), schema).count() == 2
+
+
+def test_snapshots_and_cleared_results(spark, tmp_path):
+    table, copy = str(tmp_path / "t"), str(tmp_path / "t.bak")
+    spark.range(3).write.parquet(table)
+    assert sinks.snapshot(spark, table, copy) and not sinks.snapshot(spark, table, copy)
+    assert spark.read.parquet(copy).count() == 3
+    assert not sinks.cached(spark.range(2), str(tmp_path), {"a": 1})[1] and sinks.cached(spark.range(2), str(tmp_path), {"a": 1})[1]
+    assert sinks.clear_cached(spark, str(tmp_path), {"a": 1}) and not sinks.clear_cached(spark, str(tmp_path), {"a": 1})
+    assert not sinks.cached(spark.range(2), str(tmp_path), {"a": 1})[1]
 
 
 def test_wav_and_docx(spark, tmp_path):
