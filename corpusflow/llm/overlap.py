@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.functions.distance import sequence_distance
 from corpusflow.functions.reading import source_name, split_name
 from corpusflow.llm.textforms import words
 from corpusflow.sizing import lookup, saved, saved_with
@@ -140,23 +141,8 @@ def _band_rows(rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 
 def word_distance(a: bytes, b: bytes) -> int:
-    """Edit distance of two sequences of 8-byte words, by the bit-parallel row update of Myers and Hyyrö."""
-    x, y = ([s[i : i + 8] for i in range(0, len(s), 8)] for s in (a, b))
-    if not x or not y:
-        return max(len(x), len(y))
-    at: dict[bytes, int] = {}
-    for i, w in enumerate(x):
-        at[w] = at.get(w, 0) | 1 << i
-    full, top = (1 << len(x)) - 1, 1 << (len(x) - 1)
-    up, down, score = full, 0, len(x)
-    for w in y:
-        match = at.get(w, 0)
-        diagonal = (((match & up) + up) ^ up) | match | down
-        plus, minus = (down | ~(diagonal | up)) & full, up & diagonal
-        score += bool(plus & top) - bool(minus & top)
-        plus, minus = (plus << 1 | 1) & full, (minus << 1) & full
-        up, down = (minus | ~(diagonal | plus)) & full, plus & diagonal
-    return score
+    """Edit distance of two sequences of 8-byte words."""
+    return sequence_distance(*([s[i : i + 8] for i in range(0, len(s), 8)] for s in (a, b)))
 
 
 def _jaccard(a: bytes, b: bytes) -> float:
