@@ -9,16 +9,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusflow.functions.text import collapsed, word_units
+from corpusflow.sizing import is_small, prefix_totals
+
+
+def exact_quantiles(counted: DataFrame, group: str, value: str, n: str, quantiles: dict[str, float]) -> DataFrame:
+    """``group`` and a column for each named quantile, linear between neighbours, from rows of group, value and its number ``n``.
+
+    Ranks come from running totals over buckets of one unit of the value, so no group's
+    values are held or sorted in one place; the two values next to each quantile's place
+    are then picked out of the counted ones.
+    """
+    keyed = counted.withColumn("_bucket", F.floor(value))
+    ranked = prefix_totals(keyed, [group], "_bucket", [F.col(value)], n, "_upto")
+    sizes = counted.groupBy(group).agg(F.sum(n).alias("_all")).withColumnRenamed(group, "_group")
+    joined = ranked.join(F.broadcast(sizes) if is_small(sizes) else sizes, F.col(group).eqNullSafe(F.col("_group")))
+    out = []
+    for name, q in quantiles.items():
+        place = F.lit(float(q)) * (F.col("_all") - 1)
+        for at, whole in (("low", F.floor(place)), ("high", F.ceil(place))):
+            held = (F.col("_upto") > whole) & (F.col("_upto") - F.col(n) <= whole)
+            out.append(F.max(F.when(held, F.col(value))).alias(f"_{name}_{at}"))
+        out.append(F.max(place - F.floor(place)).alias(f"_{name}_part"))
+    found = joined.groupBy(group).agg(*out)
+    between = {name: F.col(f"_{name}_low") + (F.col(f"_{name}_high") - F.col(f"_{name}_low")) * F.col(f"_{name}_part") for name in quantiles}
+    return found.select(group, *(c.alias(name) for name, c in between.items()))
 
 
 def duration_stats(df: DataFrame, group: str, duration: str) -> DataFrame:
-    """Per group: count, mean, median and 95th percentile (exact, linear), total seconds and hours; missing durations don't count."""
+    """Per group: count, mean, median and 95th percentile (exact, linear), total seconds and hours; missing durations and NaN don't count."""
     d = F.col(duration).cast("double")
-    known = df.withColumn("_d", F.when(~F.isnan(d), d))
-    out = known.groupBy(group).agg(
-        F.count("_d").alias("n"), F.mean("_d").alias("mean"), F.percentile("_d", 0.5).alias("median"), F.percentile("_d", 0.95).alias("p95"), F.coalesce(F.sum("_d"), F.lit(0.0)).alias("total_seconds")
-    )
-    return out.withColumn("total_hours", F.col("total_seconds") / 3600.0)
+    counted = df.select(group, F.when(~F.isnan(d), d).alias("_d")).groupBy(group, "_d").agg(F.count("*").alias("_n"))
+    n = F.coalesce(F.sum(F.when(F.col("_d").isNotNull(), F.col("_n"))), F.lit(0))
+    total = F.coalesce(F.sum(F.col("_d") * F.col("_n")), F.lit(0.0))
+    sums = counted.groupBy(group).agg(n.alias("n"), total.alias("total_seconds"))
+    quantiles = exact_quantiles(counted.filter("_d is not null"), group, "_d", "_n", {"median": 0.5, "p95": 0.95})
+    out = sums.join(quantiles.withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
+    out = out.withColumn("mean", F.col("total_seconds") / F.nullif("n", F.lit(0)))
+    return out.select(group, "n", "mean", "median", "p95", "total_seconds", (F.col("total_seconds") / 3600.0).alias("total_hours"))
 
 
 def text_stats(df: DataFrame, groups: Sequence[str], text: str, duration: str) -> DataFrame:

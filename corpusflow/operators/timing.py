@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,8 +111,9 @@ def row_shards(df: DataFrame, leaf: str, file: str, row: str, rows_per_shard: in
 def streamed(df: DataFrame, group: str, order: Sequence[Column], columns: Sequence[str], step: Callable[[], Callable], added: str) -> DataFrame:
     """Rows of each group passed in order through a sequential rule that keeps only its state.
 
-    ``step()`` starts a group and returns a function from a row's ``columns`` to the value
-    of ``added`` (``name type``). Rows are sorted with spill and streamed, never gathered.
+    ``step()`` starts a group and returns a function from arrays of its next rows' ``columns``
+    to an array of ``added`` (``name type``), so the rule runs once a batch and not once a
+    row. Rows are sorted with spill and streamed, never gathered; a group is one task's work.
     """
     sorted_rows = df.repartition(group).sortWithinPartitions(F.col(group), *order)
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [added])
@@ -121,13 +123,17 @@ def streamed(df: DataFrame, group: str, order: Sequence[Column], columns: Sequen
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, rule = object(), None
         for batch in batches:
+            keys = batch.column(batch.schema.get_field_index(group)).to_pylist()
+            cells = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in columns]
+            edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
             values = []
-            cells = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (group, *columns)), strict=True)
-            for key, *cell in cells:
-                if key != current or rule is None:
-                    current, rule = key, step()
-                values.append(rule(*cell))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, arrow)], names=[*batch.schema.names, name])
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                if i == j:
+                    continue
+                if rule is None or keys[i] != current:
+                    current, rule = keys[i], step()
+                values.append(rule(*(c[i:j] for c in cells)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(values) if values else [], arrow)], names=[*batch.schema.names, name])
 
     return sorted_rows.mapInArrow(run, ddl)
 
@@ -138,13 +144,19 @@ def byte_budget_shards(df: DataFrame, group: str, order: Sequence[Column], size:
     def start() -> Callable:
         held, shard = 0, 0
 
-        def place(n: int | None) -> int:
+        def place(sizes: np.ndarray) -> np.ndarray:
             nonlocal held, shard
-            here = shard
-            held += n or 0
-            if held >= budget:
-                held, shard = 0, shard + 1
-            return here
+            upto = np.cumsum(np.nan_to_num(sizes.astype(np.float64)).astype(np.int64))
+            out = np.empty(len(upto), np.int64)
+            at, before = 0, -held
+            while at < len(upto):  # from one shard's end to the next
+                end = int(np.searchsorted(upto, before + budget, "left"))
+                out[at : end + 1] = shard
+                if end >= len(upto):
+                    break
+                at, before, shard = end + 1, int(upto[end]), shard + 1
+            held = (int(upto[-1]) if len(upto) else 0) - before
+            return out
 
         return place
 

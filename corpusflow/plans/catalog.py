@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.plans import cleaning_queries, column_queries, evaluation_queries, interval_queries, scoring_queries, split_queries, text_queries
+from corpusflow.plans import cleaning_queries, column_queries, evaluation_queries, interval_queries, scoring_queries, split_queries, storage_queries, text_queries
 
-MODULES = (cleaning_queries, text_queries, column_queries, scoring_queries, split_queries, evaluation_queries, interval_queries)
+MODULES = (cleaning_queries, text_queries, column_queries, scoring_queries, split_queries, evaluation_queries, interval_queries, storage_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -328,6 +328,9 @@ select recording_id, case when s >= 3600 then (s // 3600)::varchar || 'h' || lpa
   case when audio is null then null when starts_with(hex(audio), '52494646') then 'wav' when starts_with(hex(audio), '664C6143') then 'flac' when starts_with(hex(audio), '4F676753') then 'ogg'
     when starts_with(hex(audio), '494433') then 'mp3' else 'pcm' end as kind,
   case when audio is not null then 'audio' when coalesce(trim(original_audio_path, ' '), '') != '' then 'original_audio_path' end as place from segments""",
+    "pcm_energy": """with h as (select uid, ingested_at, hex(audio) as h, octet_length(audio) // 2 as n from segments
+), s as (select uid, ingested_at, list_transform(range(0, n), lambda i: ('0x' || substring(h, 4 * i + 3, 2) || substring(h, 4 * i + 1, 2))::int) as u from h
+) select uid, ingested_at, round(list_avg(list_transform(u, lambda x: pow((case when x >= 32768 then x - 65536 else x end) / 32768.0::double, 2))), 6) as energy from s""",
     "model_map": f"""select uid, ingested_at, case when coalesce({sql.collapsed('transcript')}, '') = '' then 'skipped_empty' else 'ok' end as status,
   case when coalesce({sql.collapsed('transcript')}, '') != '' then round(1.0::double / (1 + length(transcript)), 9) end as short from segments""",
     "event_windows": """select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all""",

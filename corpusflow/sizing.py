@@ -46,6 +46,13 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new name in the shared folder; what is written there goes with ``release``."""
+    path = f"{shared_folder(spark)}/corpusflow/{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read again: no lineage, survives lost executors."""
     return saved_with(df)[0]
@@ -54,11 +61,10 @@ def saved(df: DataFrame) -> DataFrame:
 def saved_with(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict[str, Any]]:
     """``saved``, and aggregates of ``df`` taken while it is written, so they cost no pass of their own."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/corpusflow/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     seen = Observation() if figures else None
     watched = df.observe(seen, *(c.alias(name) for name, c in figures.items())) if seen else df
     watched.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path), seen.get if seen else {}
 
 

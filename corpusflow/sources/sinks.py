@@ -9,8 +9,14 @@ from collections.abc import Iterator, Mapping, Sequence
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
+import pyarrow.fs as pa_fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from corpusflow.sizing import saved
 
 
 def write_routed(df: DataFrame, path: str, reason: str = "drop_reason", rows_per_file: int = 0) -> None:
@@ -25,6 +31,29 @@ def write_leaves(df: DataFrame, path: str, keys: Sequence[str], rows_per_file: i
     writer.option("parquet.block.size", row_group_mb << 20).partitionBy(*keys).parquet(path)
 
 
+def write_arrow(df: DataFrame, path: str) -> DataFrame:
+    """Arrow files, one a task and each whole or not at all; returns ``file_name, n_rows`` of those written.
+
+    ``path`` is a folder that all executors see. A task that runs again writes its file again under the same name.
+    """
+    schema = to_arrow_schema(df.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        name = f"data-{context.partitionId():05d}.arrow"
+        files, folder = pa_fs.FileSystem.from_uri(path) if "://" in path else (pa_fs.LocalFileSystem(), path.removeprefix("file:"))
+        files.create_dir(folder, recursive=True)
+        part, n = f"{folder}/{name}.{context.taskAttemptId()}.part", 0
+        with files.open_output_stream(part) as out, pa.ipc.new_file(out, schema) as writer:
+            for batch in batches:
+                writer.write_batch(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, schema, strict=True)], schema=schema))
+                n += batch.num_rows
+        files.move(part, f"{folder}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["file_name", "n_rows"])
+
+    return saved(df.mapInArrow(run, "file_name string, n_rows bigint"))
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Rows added to a JSON log; each call's files appear at once or not at all."""
     df.write.mode("append").json(path)
