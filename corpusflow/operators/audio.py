@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import io
+import wave
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -66,6 +69,22 @@ def pcm_energy(audio: pa.Array) -> pa.Array:
     return pa.array(out, pa.float64())
 
 
+def decoded(data: bytes, rate: int = 16000) -> tuple[np.ndarray, int]:
+    """Audio bytes as samples in -1..1, mono, and their rate: a WAV file by its header, other bytes as 16-bit mono of ``rate``.
+
+    A WAV file must hold 16-bit samples; kinds that need a decoder raise an error.
+    """
+    if data.startswith(MAGIC["wav"].encode()):
+        with wave.open(io.BytesIO(data)) as w:
+            if w.getsampwidth() != 2:
+                raise ValueError("only 16-bit WAV files are read")
+            x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels())
+            return x.mean(axis=1).astype(np.float32) / np.float32(32768), w.getframerate()
+    if data.startswith(tuple(m.encode() for m in MAGIC.values())):
+        raise ValueError("this kind of audio needs a decoder")
+    return np.frombuffer(data[: len(data) // 2 * 2], "<i2").astype(np.float32) / np.float32(32768), rate
+
+
 def mono_pcm(samples: np.ndarray) -> bytes:
     """Samples as 16-bit mono bytes.
 

@@ -128,20 +128,21 @@ def sampled(df: DataFrame, key: Column, k: int, seed: int = 42) -> DataFrame:
 
 
 class ScoreModel(Protocol):
-    """A text classifier: labels and one list of probabilities per text."""
+    """A classifier of texts or of audio bytes: labels and one list of probabilities for each."""
 
     labels: Sequence[str]
 
-    def predict(self, texts: list[str]) -> list[list[float]]: ...
+    def predict(self, items: list) -> list[list[float]]: ...
 
 
 def scored(df: DataFrame, text: str, load: Callable[[], ScoreModel], batch: int = 256) -> DataFrame:
-    """``df`` with ``status``, ``error`` and ``label_scores`` of a model loaded once per task.
+    """``df`` with ``status``, ``error``, ``label_scores`` and ``predictions`` (best first) of a model loaded once per task.
 
-    A batch that fails is halved down to single rows, so one bad text is one error row;
-    null and blank texts are ``skipped_empty``.
+    The column ``text`` holds texts or audio bytes. A batch that fails is halved down to
+    single rows, so one bad item is one error row; null and blank ones are ``skipped_empty``.
     """
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", status string, error string, label_scores map<string,double>"
+    best_first = F.array_sort(F.transform(F.map_entries("label_scores"), lambda p: F.struct((-p["value"]).alias("k"), p["key"].alias("label"), p["value"].alias("score"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
@@ -167,4 +168,5 @@ def scored(df: DataFrame, text: str, load: Callable[[], ScoreModel], batch: int
             added = [pa.array([o[j] for o in out], kind) for j, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*rows.columns, *added], names=[*rows.schema.names, "status", "error", "label_scores"])
 
-    return df.mapInArrow(run, ddl)
+    predictions = F.transform(best_first, lambda p: F.struct(p["label"].alias("label"), p["score"].alias("score")))
+    return df.mapInArrow(run, ddl).withColumn("predictions", predictions)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -196,6 +197,23 @@ def model_map(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.scored(rows, "transcript", _LengthModel).select("uid", "ingested_at", "status", F.round(F.col("label_scores")["short"], 9).alias("short"))
 
 
+class _LevelModel:
+    """A deterministic stand-in for an audio classifier: scores by the loudest sample."""
+
+    labels = ("quiet", "loud")
+
+    def predict(self, items: list[bytes]) -> list[list[float]]:
+        peaks = [float(np.abs(audio.decoded(data)[0]).max()) for data in items]
+        return [[1.0 - p, p] for p in peaks]
+
+
+def audio_model_map(spark: SparkSession, folder: str) -> DataFrame:
+    """Records whose audio bytes a model scores, with the better of two labels."""
+    rows = table(spark, folder, "segments").select("uid", "ingested_at", "audio")
+    best = F.get("predictions", F.lit(0))
+    return scoring.scored(rows, "audio", _LevelModel).select("uid", "ingested_at", "status", best["label"].alias("label"), F.round(best["score"], 6).alias("score"))
+
+
 def event_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Events per hour and kind; the same rule runs on a stream."""
     out = windowed_counts(table(spark, folder, "events"), "ts", "event_type", "value")
@@ -257,7 +275,7 @@ QUERIES = {
     for f in (
         wer_cer_per_row, metrics_six, metrics_by_source, base_vs_tuned, prediction_contract, prediction_health, best_epoch_early_stop, prepare_seq2seq, prepare_chat, prepare_ctc,
         prediction_normalize, manifest_contract, collated_batches, mock_predictions, mock_losses, duration_stats, text_stats_by_split, mixture_hours, mixture_weights, mixture_counts, clock_texts,
-        pcm_and_kind, pcm_energy, model_map, event_windows, model_families,
+        pcm_and_kind, pcm_energy, model_map, event_windows, model_families, audio_model_map,
     )
 }
 SQL = {
@@ -331,6 +349,11 @@ select recording_id, case when s >= 3600 then (s // 3600)::varchar || 'h' || lpa
     "pcm_energy": """with h as (select uid, ingested_at, hex(audio) as h, octet_length(audio) // 2 as n from segments
 ), s as (select uid, ingested_at, list_transform(range(0, n), lambda i: ('0x' || substring(h, 4 * i + 3, 2) || substring(h, 4 * i + 1, 2))::int) as u from h
 ) select uid, ingested_at, round(list_avg(list_transform(u, lambda x: pow((case when x >= 32768 then x - 65536 else x end) / 32768.0::double, 2))), 6) as energy from s""",
+    "audio_model_map": """with h as (select uid, ingested_at, hex(audio) as h, coalesce(octet_length(audio), 0) // 2 as n from segments
+), s as (select uid, ingested_at, list_transform(range(0, n), lambda i: ('0x' || substring(h, 4 * i + 3, 2) || substring(h, 4 * i + 1, 2))::int) as u from h
+), p as (select uid, ingested_at, list_max(list_transform(u, lambda x: abs(case when x >= 32768 then x - 65536 else x end) / 32768.0::double)) as p from s
+) select uid, ingested_at, case when p is null then 'skipped_empty' else 'ok' end as status, case when p > 0.5 then 'loud' when p is not null and p < 0.5 then 'quiet' when p is not null then 'loud' end as label,
+  round(greatest(p, 1 - p), 6) as score from p""",
     "model_map": f"""select uid, ingested_at, case when coalesce({sql.collapsed('transcript')}, '') = '' then 'skipped_empty' else 'ok' end as status,
   case when coalesce({sql.collapsed('transcript')}, '') != '' then round(1.0::double / (1 + length(transcript)), 9) end as short from segments""",
     "event_windows": """select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all""",

@@ -9,11 +9,14 @@ import zipfile
 from collections.abc import Callable, Iterator, Sequence
 from glob import glob as glob_files
 from pathlib import Path
+from typing import IO
 from xml.etree import ElementTree
 
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from corpusflow.functions.reading import outer_trimmed
@@ -72,8 +75,6 @@ def _ipc_batches(data: bytes) -> Iterator[pa.RecordBatch]:
 
 def read_arrow(spark: SparkSession, paths: Sequence[str], schema: StructType, glob: str = "*.arrow") -> DataFrame:
     """Arrow IPC shards, file or stream format, aligned to ``schema``; a file is read by one task."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     wanted = to_arrow_schema(schema)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(list(paths)).select("content")
 
@@ -158,21 +159,33 @@ def _per_file(spark: SparkSession, paths: Sequence[str], glob: str, ddl: str, re
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 yield pa.RecordBatch.from_pylist([dict(zip(names, (path, *read(data)), strict=True))], schema=arrow)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(spark.createDataFrame([], ddl).schema)
     names = arrow.names
     return files.mapInArrow(run, ddl)
 
 
-def _wav_header(data: bytes) -> tuple:
-    with wave.open(io.BytesIO(data)) as w:
+def _wav_header(source: IO[bytes]) -> tuple:
+    with wave.open(source) as w:
         return w.getframerate(), w.getnframes(), w.getnchannels(), w.getnframes() / w.getframerate()
 
 
 def wav_headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """``path, rate, frames, channels, seconds`` of WAV files."""
-    return _per_file(spark, paths, "*.wav", "path string, rate int, frames bigint, channels int, seconds double", _wav_header)
+    """``path, rate, frames, channels, seconds`` of WAV files; of a file only the chunks before the samples are read."""
+    ddl = "path string, rate int, frames bigint, channels int, seconds double"
+    # The listing gives the paths alone, so Spark reads no content; a task opens each file itself.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(list(paths)).select("path")
+    schema = to_arrow_schema(spark.createDataFrame([], ddl).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                places, name = pa_fs.FileSystem.from_uri(path) if "://" in path else (pa_fs.LocalFileSystem(), path.removeprefix("file:"))
+                with places.open_input_file(name) as source:
+                    rows.append(dict(zip(schema.names, (path, *_wav_header(source)), strict=True)))
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return files.mapInArrow(run, ddl)
 
 
 def wav_slice(data: bytes, first: int, after: int) -> bytes:

@@ -1,7 +1,9 @@
 """Settings, the command line, and small helpers without a table of their own."""
 
 import dataclasses
+import io
 import json
+import wave
 
 import numpy as np
 import pytest
@@ -135,3 +137,17 @@ def test_speakers_and_counters(spark):
     recordings = spark.createDataFrame([("a", True, False), ("b", True, True), ("c", False, False), ("d", True, False)], "r string, has_annotation boolean, is_malformed boolean")
     parts = spark.createDataFrame([("a", None, 1.5), ("a", "invalid", 9.0), ("a", "too_short", 0.01), ("b", None, 5.0), ("d", "empty_transcript", 2.0)], "r string, fault string, seconds double")
     assert tuple(timing.segmenter_counters(recordings, parts, "r").first()) == (4, 3, 1, 1, 1, 1, 1, 1, 1, 1.5)
+
+
+def test_decoded_audio():
+    pcm = np.array([0, 16384, -32768], "<i2").tobytes()
+    samples, rate = audio.decoded(pcm + b"x", 8000)
+    assert samples.tolist() == [0.0, 0.5, -1.0] and rate == 8000
+    with io.BytesIO() as out:
+        with wave.open(out, "wb") as w:
+            w.setnchannels(2), w.setsampwidth(2), w.setframerate(44100)
+            w.writeframes(np.array([[0, 16384], [-32768, -32768]], "<i2").tobytes())
+        samples, rate = audio.decoded(out.getvalue())
+    assert samples.tolist() == [0.25, -1.0] and rate == 44100
+    with pytest.raises(ValueError):
+        audio.decoded(b"fLaC....")
