@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from corpusflow.functions.reading import source_name, speaker_name, split_name
 from corpusflow.llm.components import connected_components
-from corpusflow.sizing import lookup, prefix_totals, release, saved
+from corpusflow.sizing import BROADCAST_ROWS, lookup, prefix_totals, release, saved, saved_with
 
 #: The label that every record has.
 ALL = ""
@@ -162,12 +162,11 @@ def place(groups: DataFrame, shares: dict[str, float]) -> DataFrame:
     """
     names = sorted((s for s, x in shares.items() if x > 0), key=lambda s: (-shares[s], s))
     parts = [shares[s] for s in names]
+    groups, figures = saved_with(groups.withColumn("vector", F.md5(F.to_json(F.array_sort(F.map_entries("counts"))))), total=F.sum("records"))
     label = F.explode("counts").alias("label", "n")
-    left = {r["label"]: r["n"] for r in groups.select(label).groupBy("label").agg(F.sum("n").alias("n")).toLocalIterator()}
-    total = left[ALL] = groups.agg(F.sum("records")).first()[0] or 0
+    left = {r["label"]: r["n"] for r in groups.select(label).groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    total = left[ALL] = figures["total"] or 0
     held = {x: [0] * len(names) for x in left}
-    entries = F.array_sort(F.map_entries("counts"))
-    groups = groups.withColumn("vector", F.md5(F.to_json(entries)))
     done: list[str] = []
     placed: list[DataFrame] = []
     while left[ALL] > 0:
@@ -175,14 +174,16 @@ def place(groups: DataFrame, shares: dict[str, float]) -> DataFrame:
         seen = F.arrays_overlap(F.map_keys("counts"), F.array(*map(F.lit, done)).cast("array<string>"))
         having = groups.filter(~seen).withColumn("size", F.col("records") if rare == ALL else F.try_element_at("counts", F.lit(rare))).filter("size > 0")
         classes = having.groupBy("size", "records").agg(F.count("*").alias("n")).coalesce(1).sortWithinPartitions(F.desc("size"), F.desc("records"))
-        gets = saved(classes.mapInArrow(_dealt(held[rare], held[ALL], parts, total), "size bigint, records bigint, gets array<bigint>"))
+        gets, figures = saved_with(classes.mapInArrow(_dealt(held[rare], held[ALL], parts, total), "size bigint, records bigint, gets array<bigint>"), n=F.count("*"))
         # Buckets by vector and then by group, so neither a hot class nor a hot vector is one sort task.
         keyed = having.withColumns({"one": F.lit(1), "key": F.md5("group")}).withColumn("bucket", F.concat(F.substring("vector", 1, 2), F.substring("key", 1, 2)))
         ranked = prefix_totals(keyed, ["size", "records"], "bucket", [F.col("vector"), F.col("key"), F.col("group")], "one", "ordinal")
-        got = saved(_with_splits(lookup(ranked, gets, ["size", "records"]), names).select("group", "records", "counts", "new_split"))
+        # Counted while it was written: so few rows of a few numbers may be broadcast.
+        told = ranked.join(F.broadcast(gets), ["size", "records"]) if figures["n"] <= BROADCAST_ROWS else lookup(ranked, gets, ["size", "records"])
+        got = saved(_with_splits(told, names).select("group", "records", "counts", "new_split"))
         release(gets)
         every = F.explode(F.map_concat("counts", F.create_map(F.lit(ALL), F.col("records")))).alias("label", "n")
-        for r in got.select("new_split", every).groupBy("new_split", "label").agg(F.sum("n").alias("n")).toLocalIterator():
+        for r in got.select("new_split", every).groupBy("new_split", "label").agg(F.sum("n").alias("n")).collect():
             held[r["label"]][names.index(r["new_split"])] += r["n"]
             left[r["label"]] -= r["n"]
         done.append(rare)
@@ -207,7 +208,7 @@ def assign_splits(segments: DataFrame, targets: DataFrame, labels: tuple[str, ..
         F.sum(F.when(F.col("kind") == "", F.col("n"))).alias("records"),
         F.map_from_entries(F.collect_list(F.when(F.col("kind") != "", F.struct(label, "n")))).alias("counts"),  # a group's labels, not its records
     )
-    split_of = place(saved(vectors), shares)
+    split_of = place(vectors, shares)
     group_id = F.when(F.col("group").startswith("0"), F.substring("group", 2, 1 << 30)).otherwise(F.col("group"))
     return lookup(groups.records, split_of, ["group"]).select("uid", group_id.alias("group_id"), F.col("split").alias("old_split"), "new_split")
 
