@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,19 +23,20 @@ from corpusflow.sizing import lookup, prefix_totals, saved
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # The pattern that splits text before the merges of that file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Size of a vocabulary file up to which it is sent to the tasks.
+MOST_BYTES = 64 << 20
 #: Rows aimed at in one bucket of a running total, and the most buckets.
 BUCKET_ROWS, MAX_BUCKETS = 4000, 100_000
 #: Distinct pieces whose token count a task remembers.
 REMEMBERED = 400_000
 
 
-def _counter(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _counter(vocabulary: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.value.splitlines())}
         encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         pieces = regex.compile(PATTERN).findall
         known: dict[str, int] = {}
@@ -54,11 +57,17 @@ def _counter(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 
 def token_sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id, source, n_tokens`` of documents with an id, a source and at least one token; texts are read whole."""
+    """``doc_id, source, n_tokens`` of documents with an id, a source and at least one token; texts are read whole.
+
+    The driver reads the vocabulary file and sends it to the tasks, so executors need not have it.
+    """
     read = documents.select("doc_id", source_name(F.col("source")).alias("source"), F.col("text").cast("string").alias("text"))
     read = read.filter("doc_id is not null and source is not null and text is not null")
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return read.mapInArrow(_counter(tokenizer), f"doc_id {kind}, source string, n_tokens bigint").filter("n_tokens > 0")
+    data = Path(tokenizer).read_bytes()
+    if len(data) > MOST_BYTES:
+        raise ValueError(f"{tokenizer} is no vocabulary file: over {MOST_BYTES} bytes")
+    return read.mapInArrow(_counter(documents.sparkSession.sparkContext.broadcast(data)), f"doc_id {kind}, source string, n_tokens bigint").filter("n_tokens > 0")
 
 
 def _weights(targets: DataFrame) -> DataFrame:
