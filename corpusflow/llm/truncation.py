@@ -29,8 +29,8 @@ RARER = 80
 HEAD, WORD_SALTS = 3, 8
 #: Neighbouring lengths compared with a length; texts it needs; times the neighbours' mean; share that ends like cut ones.
 NEIGHBOURS, PILE, PILE_TIMES, PILE_CUT = 50, 3, 8, 0.25
-#: Share of a source's closed texts whose last sentence may be as short as a rest.
-SHORT_SHARE = 0.002
+#: Share of a source's closed texts whose last sentence may be as short as a rest, and share of its texts that must be closed for it to tell.
+SHORT_SHARE, CLOSED_SHARE = 0.002, 0.5
 #: Different texts of the corpus that a last line ends, from which on it is a formula that closes a text, like a signature.
 FORMULA = 3
 #: Lengths this little under a limit count where the text also ends like a cut one.
@@ -191,9 +191,13 @@ def short_rests(ends: DataFrame) -> DataFrame:
     """``source, longest_rest``: so few words almost no closed text of the source ends its last sentence with.
 
     Lengths that no closed text has count as well. Dots may stand for a rest, so they close
-    no text here. A source without a closed text has no such length.
+    no text here. A source that leaves most of its texts without a mark has no such length,
+    for there an open end tells nothing; shares decide, not numbers of texts.
     """
-    sizes = ends.filter("closed and not dotted").groupBy("source", "rest").agg(F.count("*").alias("n"))
+    is_closed = F.col("closed") & ~F.col("dotted")
+    counted = ends.groupBy("source", "rest").agg(F.count("*").alias("n_texts"), F.count_if(is_closed).alias("n"))
+    of_source = Window.partitionBy("source")
+    sizes = counted.withColumn("closes", F.sum("n").over(of_source) >= F.lit(CLOSED_SHARE) * F.sum("n_texts").over(of_source)).filter("closes and n > 0")
     upward = Window.partitionBy("source").orderBy("rest")
     share = F.sum("n").over(upward) / F.sum("n").over(Window.partitionBy("source"))
     return sizes.withColumn("share", share).filter(F.col("share") > SHORT_SHARE).groupBy("source").agg((F.min("rest") - 1).alias("longest_rest"))
